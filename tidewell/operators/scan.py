@@ -55,3 +55,22 @@ def running_max(points: DataFrame, keys: Sequence[str], order: str, value: str,
     rows = with_carries(points, keys, order, value, bits)
     w = Window.partitionBy(*keys, BLOCK).orderBy(order).rangeBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     return rows.withColumn(out, F.max(value).over(w)).filter(~F.col("__is_carry")).drop(BLOCK, "__is_carry")
+
+
+def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, bucket: Column) -> DataFrame:
+    """Adds out: the 0-based rank of a row within its key, in the given order.
+
+    bucket is a bigint that never falls along the order (the order's first
+    column, coarsened); it bounds what one task ranks.  Ranks within buckets are
+    shifted by the sizes of lower buckets, which are summed by super-buckets."""
+    keys = list(keys)
+    marked = rows.withColumn(BLOCK, bucket)
+    sizes = marked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__n")).withColumn("__super", block_of(F.col(BLOCK)))
+    supers = sizes.groupBy(*keys, "__super").agg(F.sum("__n").alias("__n"))
+    below = Window.partitionBy(*keys).orderBy("__super").rowsBetween(Window.unboundedPreceding, -1)
+    supers = supers.select(*keys, "__super", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__s"))
+    within = Window.partitionBy(*keys, "__super").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.withColumn("__w", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(supers, [*keys, "__super"])
+    starts = starts.select(*keys, BLOCK, (F.col("__s") + F.col("__w")).alias("__start"))
+    own = Window.partitionBy(*keys, BLOCK).orderBy(*order)
+    return marked.withColumn("__r", F.row_number().over(own) - 1).join(starts, [*keys, BLOCK]).withColumn(out, F.col("__start") + F.col("__r")).drop(BLOCK, "__r", "__start")
