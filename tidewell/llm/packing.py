@@ -269,13 +269,14 @@ def _salt() -> Column:
 
 
 def ranked(items: DataFrame) -> DataFrame:
-    """Adds rank: 0.. within each length.  A hot length is ranked in salted parts."""
+    """Adds rank: 0.. within each length.  A hot length is ranked in salted parts;
+    rows are shuffled once, as the window and the join have the same keys."""
     salted = items.withColumn("salt", _salt())
     sizes = salted.groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * SALTS rows
     before = Window.partitionBy("tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     own = Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece")
-    return salted.withColumn("r", F.row_number().over(own) - 1).join(F.broadcast(starts), ["tokens", "salt"]).select("doc_id", "piece", "tokens", (F.col("start") + F.col("r")).alias("rank"))
+    return salted.withColumn("r", F.row_number().over(own) - 1).join(starts, ["tokens", "salt"]).select("doc_id", "piece", "tokens", (F.col("start") + F.col("r")).alias("rank"))
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, large: float = LARGE, groups: int = GROUPS) -> DataFrame:
