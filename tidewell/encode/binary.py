@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import BinaryType
 
 from tidewell.encode import writer
 
@@ -16,23 +17,24 @@ NATIVE_EPOCH_US = 946_684_800_000_000
 NATIVE_EPOCH_DAYS = 10_957
 
 
+def reversed_bytes(raw: Column, size: int) -> Column:
+    """Byte order turned round; the function reverse would turn characters."""
+    return F.concat(*[F.substring(raw, i, 1) for i in range(size, 0, -1)])
+
+
 def le_int(x: Column, size: int) -> Column:
     """Two's complement, little endian; higher bits are cut off."""
     digits = F.lpad(F.hex(x.cast("bigint")), 16, "0")
-    return F.reverse(F.unhex(F.substring(digits, 17 - 2 * size, 2 * size)))
-
-
-def be_bytes(x: Column, size: int) -> Column:
-    return F.reverse(le_int(x, size))
+    return F.unhex(F.concat(*[F.substring(digits, 15 - 2 * i, 2) for i in range(size)]))
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def le_float64(x: pd.Series) -> pd.Series:
     raw = x.to_numpy("<f8").tobytes()
     return pd.Series([None if null else raw[i * 8 : i * 8 + 8] for i, null in enumerate(x.isna())])
 
 
-@pandas_udf("binary")
+@pandas_udf(BinaryType())
 def le_float32(x: pd.Series) -> pd.Series:
     raw = x.to_numpy("<f4").tobytes()
     return pd.Series([None if null else raw[i * 4 : i * 4 + 4] for i, null in enumerate(x.isna())])
@@ -51,7 +53,7 @@ def decimal(d: Column, precision: int, scale: int) -> Column:
     if precision < 19:
         return le_int(scaled_int(d, scale), 8)
 
-    @pandas_udf("binary")
+    @pandas_udf(BinaryType())
     def wide(x: pd.Series) -> pd.Series:
         return x.map(lambda v: None if v is None else writer.decimal(v, precision, scale))
 
@@ -59,10 +61,10 @@ def decimal(d: Column, precision: int, scale: int) -> Column:
 
 
 def leb128(n: Column) -> Column:
-    """Unsigned varint of a length; negative numbers raise."""
+    """Unsigned varint of a length below 2**56; negative numbers raise."""
     byte = lambda x: F.unhex(F.lpad(F.hex(x.cast("bigint")), 2, "0"))
     out = F.when(n < 0, F.raise_error(F.lit("a length cannot be negative")).cast("binary"))
-    for k in range(1, 10):
+    for k in range(1, 9):
         parts = [byte(F.shiftright(n, 7 * i).bitwiseAND(127) + (128 if i < k - 1 else 0)) for i in range(k)]
         out = out.when(n < 2 ** (7 * k), F.concat(*parts))
     return out

@@ -36,7 +36,7 @@ def _present(f: T.StructField, x: Column) -> Column:
         text = isinstance(t, T.StringType)
         if meta.get("uuid"):
             raw = binary.uuid_bytes(x)
-            return F.concat(F.reverse(F.substring(raw, 1, 8)), F.reverse(F.substring(raw, 9, 8)))
+            return F.concat(binary.reversed_bytes(F.substring(raw, 1, 8), 8), binary.reversed_bytes(F.substring(raw, 9, 8), 8))
         if "fixed_length" in meta:
             n = meta["fixed_length"]
             return binary.fixed_utf8(x, n, truncate, b"\0") if text else binary.fixed_bytes(x, n, truncate)

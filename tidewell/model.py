@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import total_ordering
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -12,14 +14,23 @@ KEYS = ["topic", "partition"]
 #: A watermark before any record; survives as a number.
 NO_WATERMARK = -1
 
-RECORD = T.StructType.fromDDL("topic string, partition int, offset bigint, timestamp_ms bigint, key binary, value binary, watermark_ms bigint")
-POSITION = T.StructType.fromDDL("offset bigint, watermark_ms bigint")
-RANGE = T.StructType.fromDDL("topic string, partition int, start_offset bigint, start_watermark_ms bigint, end_offset bigint, end_watermark_ms bigint")
-POSITIONS = T.StructType.fromDDL("topic string, partition int, offset bigint, watermark_ms bigint")
-FILE_STATS = T.StructType.fromDDL("open_ms bigint, size bigint, records bigint")
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "bigint": T.LongType(), "binary": T.BinaryType(), "boolean": T.BooleanType(), "timestamp_ntz": T.TimestampNTZType(), "array<int>": T.ArrayType(T.IntegerType()), "decimal(18,6)": T.DecimalType(18, 6)}
 
 
-@dataclass(frozen=True, order=True)
+def struct(text: str) -> T.StructType:
+    """'name type, …' of the log's own types, without a session."""
+    return T.StructType([T.StructField(n, _TYPES[t]) for n, t in (part.split() for part in re.split(r", ", text))])
+
+
+RECORD = struct("topic string, partition int, offset bigint, timestamp_ms bigint, key binary, value binary, watermark_ms bigint")
+POSITION = struct("offset bigint, watermark_ms bigint")
+RANGE = struct("topic string, partition int, start_offset bigint, start_watermark_ms bigint, end_offset bigint, end_watermark_ms bigint")
+POSITIONS = struct("topic string, partition int, offset bigint, watermark_ms bigint")
+FILE_STATS = struct("open_ms bigint, size bigint, records bigint")
+
+
+@total_ordering
+@dataclass(frozen=True)
 class Position:
     """Ordered by offset only."""
 

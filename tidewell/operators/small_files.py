@@ -9,8 +9,9 @@ checksums of every part are checked against the result.
 Defined results: a file's size is that of its last report that gives one, its
 record count that of its last report; a file without a size is left alone; of
 reports with the same time the greater figures stand; a null file id or path
-drops the row; a path without '/' lies in the directory ''; empty tables give
-no rows.
+drops the row; a path without '/' lies in the directory ''; columns of the
+table named directory or target give way to the plan's; empty tables give no
+rows.
 """
 
 from __future__ import annotations
@@ -74,7 +75,7 @@ def plan(file_stats: DataFrame, aim: int = AIM_BYTES, small: int = SMALL_BYTES)
 def regroup(test_table: DataFrame, file_stats: DataFrame, aim: int = AIM_BYTES) -> DataFrame:
     """Every row of test_table once, with directory and target of its file (null: not merged)."""
     moves = plan(file_stats, aim).select(F.col("_file_id").alias("__f"), "directory", "target")
-    return test_table.join(moves, F.col("_file_id") == F.col("__f"), "left").drop("__f")
+    return test_table.drop("__f", "directory", "target").join(moves, F.col("_file_id") == F.col("__f"), "left").drop("__f")
 
 
 _FRAMES = "_file_id bigint, frame binary, rows bigint, plain_bytes bigint, crc bigint"
