@@ -32,7 +32,7 @@ class IncrementalRuns:
 
     def _current(self, table: DataFrame) -> DataFrame:
         rows = table.dropna(subset=[*changes.KEYS, "_offset"])
-        latest = F.max(F.struct(F.coalesce("_file_id", F.lit(-1 << 62)).alias("f"), changes.content_digest(self.columns).alias("h")))["h"]
+        latest = F.max(F.struct(F.coalesce("_file_id", F.lit(changes.NO_FILE)).alias("f"), changes.content_digest(self.columns).alias("h")))["h"]
         return rows.groupBy(*changes.KEYS, "_offset").agg(latest.alias("current"))
 
     def _leaves(self, records: DataFrame) -> DataFrame:

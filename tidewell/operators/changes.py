@@ -26,6 +26,8 @@ from tidewell.operators import scan
 
 KEYS = ["_topic", "_partition"]
 CONTENT = ["id", "name", "timestamp", "height", "width", "is_enabled", "child_ids", "parent_id", "transaction_id", "money_spent"]
+#: Stands for the null file id of rows loaded by hand: below all others, seen by no run.
+NO_FILE = -(1 << 62)
 LEAF_BITS = 8
 FANOUT_BITS = 6
 LEVELS = 4
@@ -78,14 +80,14 @@ def record_states(test_table: DataFrame, run_ledger: DataFrame, columns: Sequenc
     covers an offset is an as-of lookup of the last coverage point at or below
     it: a running maximum of (at, seen), by blocks of offsets."""
     rows = test_table.filter("_topic is not null and _partition is not null and _offset is not null").select(
-        *KEYS, "_offset", F.struct(F.coalesce("_file_id", F.lit(-1 << 62)).alias("f"), content_digest(columns).alias("h")).alias("row"), F.lit(None).cast("struct<at:bigint,seen:bigint>").alias("point")
+        *KEYS, "_offset", F.struct(F.coalesce("_file_id", F.lit(NO_FILE)).alias("f"), content_digest(columns).alias("h")).alias("row"), F.lit(None).cast("struct<at:bigint,seen:bigint>").alias("point")
     )
     ranges = committed_ranges(run_ledger)
     points = coverage_points(ranges, _levels(ranges)).select(*KEYS, F.col("at").alias("_offset"), F.struct("at", "seen").alias("point"))
     carried = scan.with_carries(rows.unionByName(points, allowMissingColumns=True), KEYS, "_offset", "point")
     w = Window.partitionBy(*KEYS, scan.BLOCK).orderBy("_offset").rangeBetween(Window.unboundedPreceding, 0)
     known = carried.withColumn("seen", F.max("point").over(w)["seen"]).filter("row is not null")
-    saved = F.max(F.when(F.col("row.f") <= F.col("seen"), F.col("row")))
+    saved = F.max(F.when((F.col("row.f") <= F.col("seen")) & (F.col("row.f") != NO_FILE), F.col("row")))
     return known.groupBy(*KEYS, scan.BLOCK, "_offset").agg(F.max("row")["h"].alias("current"), saved["h"].alias("saved"))
 
 

@@ -99,7 +99,7 @@ def compose_windows(pane_rows: DataFrame, panes_per_window: int, pane_ms: int =
     ago = F.explode(F.sequence(F.lit(0), F.lit(panes_per_window - 1)))
     spread = pane_rows.withColumn("__ago", ago).withColumn("window_start_ms", F.col("pane_ms") - F.col("__ago") * pane_ms)
     if changed is not None:
-        touched = changed.select("topic", (F.col("pane_ms") - ago * pane_ms).alias("window_start_ms")).distinct()
+        touched = changed.withColumn("__ago", ago).select("topic", (F.col("pane_ms") - F.col("__ago") * pane_ms).alias("window_start_ms")).distinct()
         spread = spread.join(touched, ["topic", "window_start_ms"], "left_semi")
     return spread.groupBy("topic", "window_start_ms").agg(
         F.sum("records").alias("records"), F.sum("loaded").alias("loaded"),
