@@ -59,7 +59,7 @@ class TwoPhaseStorage:
         out = rows.coalesce(self.files) if self.files else rows
         writer = out.write.mode("overwrite").options(**self.parquet.options())
         (writer.partitionBy(*self.partition_by) if self.partition_by else writer).parquet(self.folder.full(f"staging/{name}.tmp"))
-        return [{"staged_file_path": f"staging/{name}.tmp", "destination_file_path": f"data/batch={name}"}]
+        return [{"staged_file_path": f"staging/{name}.tmp", "destination_file_path": f"data/stored_batch={name}"}]
 
     def is_stored(self, staging: list[dict[str, str]]) -> bool:
         return all(self.folder.exists(s["destination_file_path"]) for s in staging)
@@ -101,7 +101,7 @@ class TwoPhaseStorage:
         return out
 
     def read(self) -> DataFrame:
-        return self.spark.read.parquet(self.folder.full("data"))
+        return self.spark.read.parquet(self.folder.full("data")).drop("stored_batch")
 
 
 class TableStorage:

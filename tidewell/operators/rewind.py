@@ -11,7 +11,7 @@ from tidewell.sources import log as logs
 
 
 def by_offset(positions: DataFrame, n: int) -> DataFrame:
-    return positions.withColumn("offset", F.greatest(F.lit(0), F.col("offset") - n))
+    return positions.withColumn("offset", F.when(F.col("offset").isNotNull(), F.greatest(F.lit(0), F.col("offset") - n)))
 
 
 def by_watermark(positions: DataFrame, log: DataFrame, ms: int) -> DataFrame:
