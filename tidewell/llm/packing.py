@@ -35,7 +35,7 @@ from tidewell.session import staged
 
 CAPACITY = 4096
 #: Lengths above this share of the capacity are grouped, the rest fill gaps.
-LARGE = 1 / 8
+LARGE = 1 / 3
 GROUPS = 32
 #: Parts of a length that are ranked apart from each other.
 SALTS = 64
