@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import scan
+from tidewell.session import staged
 
 KEYS = ["_topic", "_partition"]
 CONTENT = ["id", "name", "timestamp", "height", "width", "is_enabled", "child_ids", "parent_id", "transaction_id", "money_spent"]
@@ -82,8 +83,9 @@ def record_states(test_table: DataFrame, run_ledger: DataFrame, columns: Sequenc
     rows = test_table.filter("_topic is not null and _partition is not null and _offset is not null").select(
         *KEYS, "_offset", F.struct(F.coalesce("_file_id", F.lit(NO_FILE)).alias("f"), content_digest(columns).alias("h")).alias("row"), F.lit(None).cast("struct<at:bigint,seen:bigint>").alias("point")
     )
-    ranges = committed_ranges(run_ledger)
-    points = coverage_points(ranges, _levels(ranges)).select(*KEYS, F.col("at").alias("_offset"), F.struct("at", "seen").alias("point"))
+    ranges = staged(committed_ranges(run_ledger), "ranges")
+    # written once: it is as small as the ledger, and both the carries and the scan read it
+    points = staged(coverage_points(ranges, _levels(ranges)), "coverage").select(*KEYS, F.col("at").alias("_offset"), F.struct("at", "seen").alias("point"))
     carried = scan.with_carries(rows.unionByName(points, allowMissingColumns=True), KEYS, "_offset", "point")
     w = Window.partitionBy(*KEYS, scan.BLOCK).orderBy("_offset").rangeBetween(Window.unboundedPreceding, 0)
     known = carried.withColumn("seen", F.max("point").over(w)["seen"]).filter("row is not null")
@@ -97,15 +99,19 @@ def _mix(key: Sequence[Column], digest: Column) -> Column:
 
 
 def leaves(states: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFrame:
-    """(_topic, _partition, node, current, saved): digests of leaf ranges.  The
-    pair (xor, count) of independently keyed hashes makes up a digest."""
+    """(_topic, _partition, node, current, saved, changed): digests of leaf ranges
+    and the offsets in them, at most 2**leaf_bits, that differ.  The pair (xor,
+    count) of independently keyed hashes makes up a digest.  States lie by
+    blocks of offsets already, so nothing is shuffled."""
     key = [F.col("_topic"), F.col("_partition"), F.col("_offset")]
     both = [key, [*reversed(key), F.lit(104729)]]
     cur = [F.bit_xor(_mix(k, F.col("current"))) for k in both]
     old = [F.bit_xor(_mix(k, F.col("saved"))) for k in both]
+    differs = F.col("current").isNotNull() & ~F.col("current").eqNullSafe(F.col("saved"))
     return states.groupBy(*KEYS, scan.BLOCK, F.shiftright("_offset", leaf_bits).alias("node")).agg(
         F.struct(cur[0].alias("a"), cur[1].alias("b"), F.count("current").alias("n")).alias("current"),
         F.struct(old[0].alias("a"), old[1].alias("b"), F.count("saved").alias("n")).alias("saved"),
+        F.collect_list(F.when(differs, F.col("_offset"))).alias("changed"),
     ).drop(scan.BLOCK)
 
 
@@ -140,13 +146,16 @@ def changed_leaves(levels: Sequence[DataFrame], fanout_bits: int = FANOUT_BITS)
     return open_nodes
 
 
-def extract(states: DataFrame, changed: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFrame:
+def extract(leaf_nodes: DataFrame, changed: DataFrame) -> DataFrame:
     """The new and changed records of the changed leaves, each once."""
-    inside = states.withColumn("node", F.shiftright("_offset", leaf_bits)).join(changed, [*KEYS, "node"], "left_semi")
-    return inside.filter("saved is null or saved != current")
+    inside = leaf_nodes.join(changed, [*KEYS, "node"], "left_semi")
+    return inside.select(*KEYS, F.explode("changed").alias("_offset"))
 
 
 def to_process(test_table: DataFrame, run_ledger: DataFrame, columns: Sequence[str] = CONTENT) -> DataFrame:
-    """Records new or changed since they were last processed successfully."""
-    states = record_states(test_table, run_ledger, columns)
-    return extract(states, changed_leaves(tree(leaves(states)))).select(*KEYS, "_offset")
+    """Records new or changed since they were last processed successfully.
+
+    The leaves are written once to the shared folder; descending reads digests
+    only, extracting reads the changed leaves' offsets."""
+    nodes = staged(leaves(record_states(test_table, run_ledger, columns)), "leaves")
+    return extract(nodes, changed_leaves(tree(nodes.drop("changed"))))
