@@ -277,3 +277,43 @@ def test_own_source_reads_in_steps(spark, tmp_path):
 def test_recovered_ledger(spark):
     df = spark.createDataFrame([("t", 0, 5, None, False, False, 9, 90), ("t", 1, 5, 50, True, False, 9, 90), ("t", 2, 5, 50, True, True, 9, 90)], "topic string, partition int, offset bigint, watermark_ms bigint, staged boolean, stored boolean, end_offset bigint, end_watermark_ms bigint")
     assert rows(protocols.recover_ledger(df)) == [("t", 0, 5, 0, False), ("t", 1, 10, 90, True), ("t", 2, 10, 90, False)]
+
+
+def test_external_offsets_and_multipart_uploads(spark, tmp_path):
+    df = lambda n: spark.createDataFrame([(n,)], "n int")
+    ext = protocols.ExternalOffsetStorage(spark, str(tmp_path / "x"), "g")
+    assert ext.committed_positions(KEYS) == dict.fromkeys(KEYS) and ext.next_file_id() == 1
+    ext.commit_batch(df(1), B1)
+    ext.commit_batch(df(2), B2)
+    assert rows(ext.read().select("_file_id", "n")) == [(1, 1), (2, 2)]
+    assert ext.committed_positions(KEYS) == {("t", r.partition): Position(r.end.offset + 1, r.end.watermark_ms) for r in B2}
+    assert protocols.ExternalOffsetStorage(spark, str(tmp_path / "x"), "other").committed_positions(KEYS) == dict.fromkeys(KEYS)
+    ledger = Ledger(spark, str(tmp_path / "l"), "g")
+    up = protocols.MultipartStorage(spark, str(tmp_path / "u"), ledger)
+    up.commit_batch(df(1), B1)
+    for step in ("store", "finalize"):
+        up.fail_at = step
+        with pytest.raises(OSError):
+            up.commit_batch(df(2), B2)
+        up.recover(KEYS)
+        assert rows(up.read()) == [(1,), (2,)]
+    assert up.committed_positions(KEYS) == ext.committed_positions(KEYS)
+    inrow = protocols.InRowStorage(spark, str(tmp_path / "r"), "g")
+    r = spark.createDataFrame([("t", 0, 4, datetime(1970, 1, 1, 0, 0, 1))], "_topic string, _partition int, _offset bigint, _watermark timestamp_ntz")
+    assert inrow.committed_positions({("t", 0)}) == {("t", 0): None}
+    inrow.commit_batch(r, B1[:1])
+    assert inrow.committed_positions({("t", 0), ("t", 5)}) == {("t", 0): Position(5, 1000), ("t", 5): None}
+
+
+def test_payloads_files_and_names(spark):
+    data = [("t", 0, 1, bytearray(b'{"a": 1, "b": "x"}')), ("t", 0, 2, None), ("t", 0, 3, bytearray(b"{}"))]
+    df = spark.createDataFrame(data, "topic string, partition int, offset bigint, value binary")
+    f = formatting.chain(formatting.json_payload("a int, b string"), formatting.filtering("a is not null"))
+    assert rows(f(df)) == [("t", 0, 1, 1, "x")]
+    r = spark.createDataFrame([("t", 0, o, o, f"d{o % 2}") for o in range(4)], "topic string, partition int, offset bigint, watermark_ms bigint, day string")
+    assert [(x["day"], [(y["start_offset"], y["end_offset"]) for y in x["ranges"]]) for x in ranges.by_file(r, ["day"]).orderBy("day").collect()] == [("d0", [(0, 2)]), ("d1", [(1, 3)])]
+    a, b = files.uuid7(1000), files.uuid7(2000)
+    assert a.version == 7 and a < b and int.from_bytes(a.bytes[:6], "big") == 1000
+    m = Ingest(storage=object()).metrics
+    m.polled, m.commit_s = 3, [0.5]
+    assert m.report("x") == {"x.records.polled": 3, "x.batch.commit.duration": 0.5}

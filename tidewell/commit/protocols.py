@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import logging
+from collections.abc import Callable
 from typing import Protocol
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,7 @@ from tidewell.commit.ledger import Key, Ledger, Offset
 from tidewell.commit.metadata import CommitMetadata, Staged, property_key
 from tidewell.commit.storage import Folder
 from tidewell.model import Position, Range
+from tidewell.operators import positions
 from tidewell.sources.files import ParquetConfig, stable_uuid
 
 log = logging.getLogger(__name__)
@@ -173,6 +175,74 @@ class InRowStorage(TableStorage):
         return out | {(r["t"], r["p"]): Position(r["o"], r["w"] or 0) for r in rows if (r["t"], r["p"]) in partitions}
 
 
+class ExternalOffsetStorage(TableStorage):
+    """Rows carry a file id; the offsets of each file are rows of a second table.
+    One snapshot adds both.  Positions are those of this consumer group."""
+
+    def next_file_id(self) -> int:
+        """The id of the next file: one more than snapshots so far, so a replay that lost its snapshot uses it again."""
+        return self._properties()[0] + 2
+
+    def commit_batch(self, rows: DataFrame, ranges: list[Range]) -> None:
+        name = batch_token(ranges)
+        while True:
+            version, properties = self._properties()
+            file_id = version + 2
+            data, offsets = f"data/{name}-{file_id}", f"offsets/{name}-{file_id}"
+            rows.withColumn("_file_id", F.lit(file_id).cast("bigint")).write.mode("overwrite").options(**self.parquet.options()).parquet(self.folder.full(data))
+            own = [(file_id, self.group, r.topic, r.partition, r.start.offset, r.start.watermark_ms, r.end.offset, r.end.watermark_ms) for r in ranges]
+            table = self.spark.createDataFrame(own, "_file_id bigint, _consumer_group string, _topic string, _partition int, _start_offset bigint, s bigint, _end_offset bigint, e bigint")
+            table.select(
+                "_file_id", "_consumer_group", "_topic", "_partition", "_start_offset", F.timestamp_millis("s").cast("timestamp_ntz").alias("_start_watermark"),
+                "_end_offset", F.timestamp_millis("e").cast("timestamp_ntz").alias("_end_watermark"),
+            ).coalesce(1).write.mode("overwrite").parquet(self.folder.full(offsets))
+            if self.folder.write(f"snapshots/{version + 1:012d}.json", json.dumps({"added": [data], "offsets": [offsets], "properties": properties})):
+                return
+
+    def offsets(self) -> DataFrame | None:
+        paths = [p for n in self._snapshots() for p in self.folder.read_json(f"snapshots/{n}")["offsets"]]
+        return self.spark.read.parquet(*[self.folder.full(p) for p in paths]) if paths else None
+
+    def committed_positions(self, partitions: set[Key]) -> dict[Key, Position | None]:
+        table = self.offsets()
+        out: dict[Key, Position | None] = dict.fromkeys(partitions)
+        if table is None:
+            return out
+        found = positions.external(table, self.group).collect()  # one row per topic partition of the group
+        return out | {(r["topic"], r["partition"]): Position(r["offset"], r["watermark_ms"]) for r in found if (r["topic"], r["partition"]) in partitions}
+
+
+class MultipartStorage(TwoPhaseStorage):
+    """Two-phase commits as object stores have them: staging uploads the parts of
+    an object under an upload id, storing completes the upload.  Whether an
+    object is stored is asked by its exact key.  Emulated on a file system."""
+
+    def __init__(self, *args, key: Callable[[list[Range]], str] = batch_token, **kw):
+        super().__init__(*args, **kw)
+        self.key = key
+
+    def stage_batch(self, rows: DataFrame, ranges: list[Range]) -> list[dict[str, str]]:
+        self._maybe_fail("stage_files")
+        key, upload = self.key(ranges), batch_token(ranges)
+        rows.write.mode("overwrite").options(**self.parquet.options()).parquet(self.folder.full(f"uploads/{upload}/part-1"))
+        return [{"id": upload, "part_tag": "part-1", "key": key}]
+
+    def is_stored(self, staging: list[dict[str, str]]) -> bool:
+        return all(self.folder.exists(f"data/{s['key']}") for s in staging)
+
+    def store_batch(self, staging: list[dict[str, str]]) -> None:
+        self._maybe_fail("store")
+        for s in staging:
+            if self.folder.exists(f"data/{s['key']}"):
+                continue
+            if not self.folder.rename(f"uploads/{s['id']}/{s['part_tag']}", f"data/{s['key']}"):
+                raise OSError(f"upload {s['id']} cannot be completed")
+            self.folder.delete(f"uploads/{s['id']}")
+
+    def read(self) -> DataFrame:
+        return self.spark.read.option("recursiveFileLookup", "true").parquet(self.folder.full("data"))
+
+
 def recover_ledger(intents: DataFrame) -> DataFrame:
     """(topic, partition, offset, watermark_ms, staged, stored, end_offset, end_watermark_ms)
     to the ledger after recovery, and store: which batches recovery has to store."""

@@ -36,6 +36,28 @@ def payload_fields(value: Column) -> Column:
     return F.split(F.decode(value, "utf-8"), ";")
 
 
+def json_payload(schema: str, value: str = "value") -> Formatter:
+    """Typed rows from JSON payloads; payloads that don't parse, and tombstones, give none."""
+
+    def run(records: DataFrame) -> DataFrame:
+        parsed = records.withColumn("__p", F.from_json(F.decode(value, "utf-8"), schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "__bad"}))
+        keep = [c for c in records.columns if c != value]
+        return parsed.filter("__p is not null").select(*keep, "__p.*")
+
+    return run
+
+
+def chain(*formatters: Formatter) -> Formatter:
+    """One formatter after the other."""
+
+    def run(records: DataFrame) -> DataFrame:
+        for f in formatters:
+            records = f(records)
+        return records
+
+    return run
+
+
 def written_and_batched(records: DataFrame, formatter: Formatter) -> DataFrame:
     """(topic, partition, batched, written): records polled and rows they became."""
     batched = records.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("batched"))

@@ -37,3 +37,10 @@ def dedup_token(ranges: DataFrame, by: Sequence[str]) -> DataFrame:
     """(by…, token): names a batch by its ranges; a batch has one range a partition."""
     t = token(F.col("topic"), F.col("partition"), F.col("start_offset"), F.col("end_offset"))
     return ranges.groupBy(*by).agg(F.array_join(F.sort_array(F.collect_set(t)), ";").alias("token"))
+
+
+def by_file(records: DataFrame, file: Sequence[str]) -> DataFrame:
+    """(file…, ranges): the ranges of the records in each file, one a topic partition."""
+    each = build(records, file)
+    one = F.struct(*KEYS, "start_offset", "start_watermark_ms", "end_offset", "end_watermark_ms")
+    return each.groupBy(*file).agg(F.sort_array(F.collect_list(one)).alias("ranges"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -54,9 +55,26 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if not _written:
+        atexit.register(release)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def release() -> None:
+    """Deletes what staged() wrote; frames read from it are void then.  Runs at exit."""
+    while _written:
+        spark, path = _written.pop()
+        try:
+            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+        except Exception:  # the session is gone: the shared folder's owner clears it
+            return
+
+
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since the epoch (floor) of a timestamp or NTZ in UTC."""
     return F.unix_millis(ts.cast("timestamp"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 import bz2
 import gzip
 import hashlib
+import os
+import time
 import uuid
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
@@ -88,6 +90,15 @@ def stable_uuid(ranges: Sequence[tuple[str, int, int, int]]) -> uuid.UUID:
     return uuid.UUID(bytes=hashlib.md5(text.encode()).digest())
 
 
+def uuid7(now_ms: int | None = None) -> uuid.UUID:
+    """A time-ordered random name.  Never where a replay must find the same name."""
+    ms = int(time.time() * 1000) if now_ms is None else now_ms
+    raw = bytearray(ms.to_bytes(6, "big") + os.urandom(10))
+    raw[6] = raw[6] & 0x0F | 0x70
+    raw[8] = raw[8] & 0x3F | 0x80
+    return uuid.UUID(bytes=bytes(raw))
+
+
 def uuid_column(ranges: Column) -> Column:
     """The same name as a column; ranges: array of structs (topic, partition, start_offset, end_offset)."""
     texts = F.transform(F.sort_array(ranges), lambda r: token(r["topic"], r["partition"], r["start_offset"], r["end_offset"]))

@@ -26,15 +26,23 @@ from tidewell.streaming.retry import Policy, on_failure_if
 log = logging.getLogger(__name__)
 
 
+#: Names under which metrics are reported.
+METRIC_NAMES = {"polled": "records.polled", "commit_s": "batch.commit.duration", "watermark_delay_ms": "batch.committed.watermark.delay.ms"}
+
+
 @dataclass
 class Metrics:
     polled: int = 0
-    written: int = 0
     batches: int = 0
     skipped: int = 0
     commit_s: list[float] = field(default_factory=list)
     watermark_delay_ms: dict[Key, int] = field(default_factory=dict)
 
+    def report(self, prefix: str = "ingest") -> dict[str, float]:
+        """Names and values; times as their greatest, delays per topic partition."""
+        out: dict[str, float] = {f"{prefix}.{METRIC_NAMES['polled']}": self.polled, f"{prefix}.{METRIC_NAMES['commit_s']}": max(self.commit_s, default=0.0)}
+        return out | {f"{prefix}.{METRIC_NAMES['watermark_delay_ms']}.{t}.{p}": v for (t, p), v in self.watermark_delay_ms.items()}
+
 
 @dataclass(frozen=True)
 class Ingest:
