@@ -46,6 +46,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
+    """Lets Arrow batches to Python hold at most so many rows, for long texts.
+
+    The setting is the session's and stays; a smaller one is kept."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(key)) <= rows:
+        conf.set(key, str(rows))
+    return df
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder as zstd parquet and read it back.
 
