@@ -2,8 +2,26 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes of text that a step works on at once; a single longer text is a step of its own.
+STEP_BYTES = 4_000_000
+
+
+def steps(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = STEP_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut into slices of bounded text, so that memory doesn't grow with texts or batches."""
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < batch.num_rows:
+            base = sizes[start - 1] if start else 0
+            end = max(start + 1, int(np.searchsorted(sizes, base + most, "right")))
+            yield batch.slice(start, end - start)
+            start = end
 
 
 def cell_lists(batch: pa.RecordBatch, text: str = "text", cells: str = "cells") -> list[list[tuple[str, str]]]:
