@@ -64,7 +64,7 @@ def coverage_points(ranges: DataFrame, levels: int = 48) -> DataFrame:
     nodes = left.unionByName(right).groupBy(*KEYS, "lv", "node").agg(F.max("seen").alias("seen"))
     at = ranges.select(*KEYS, F.explode(F.array(F.col("s"), F.col("e") + 1)).alias("at")).distinct()
     probes = at.withColumn("lv", level).withColumn("node", F.expr("shiftright(at, lv)"))
-    found = probes.join(nodes, [*KEYS, "lv", "node"], "left")
+    found = probes.join(nodes.hint("merge"), [*KEYS, "lv", "node"], "left")
     return found.groupBy(*KEYS, "at").agg(F.max("seen").alias("seen"))
 
 
@@ -142,13 +142,13 @@ def changed_leaves(levels: Sequence[DataFrame], fanout_bits: int = FANOUT_BITS)
     open_nodes = levels[-1].filter(differs).select(*KEYS, "node")
     for level in reversed(levels[:-1]):
         below = level.filter(differs).select(*KEYS, "node", F.shiftright("node", fanout_bits).alias("__up"))
-        open_nodes = below.join(open_nodes.withColumnRenamed("node", "__up"), [*KEYS, "__up"], "left_semi").select(*KEYS, "node")
+        open_nodes = below.join(open_nodes.withColumnRenamed("node", "__up").hint("merge"), [*KEYS, "__up"], "left_semi").select(*KEYS, "node")
     return open_nodes
 
 
 def extract(leaf_nodes: DataFrame, changed: DataFrame) -> DataFrame:
     """The new and changed records of the changed leaves, each once."""
-    inside = leaf_nodes.join(changed, [*KEYS, "node"], "left_semi")
+    inside = leaf_nodes.join(changed.hint("merge"), [*KEYS, "node"], "left_semi")
     return inside.select(*KEYS, F.explode("changed").alias("_offset"))
 
 
@@ -156,6 +156,7 @@ def to_process(test_table: DataFrame, run_ledger: DataFrame, columns: Sequence[s
     """Records new or changed since they were last processed successfully.
 
     The leaves are written once to the shared folder; descending reads digests
-    only, extracting reads the changed leaves' offsets."""
+    only, extracting reads the changed leaves' offsets.  Joins are sort-merge: the
+    sizes of changed sets and of the ledger have no bound that a broadcast needs."""
     nodes = staged(leaves(record_states(test_table, run_ledger, columns)), "leaves")
     return extract(nodes, changed_leaves(tree(nodes.drop("changed"))))
