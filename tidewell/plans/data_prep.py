@@ -102,7 +102,7 @@ plan AS (
 """
 
 _COVER = """
-WITH ok AS (SELECT _consumer_group, _topic, _partition, _start_offset AS s, _end_offset AS e FROM file_offsets WHERE _end_offset >= _start_offset),
+WITH ok AS (SELECT DISTINCT _consumer_group, _topic, _partition, _start_offset AS s, _end_offset AS e FROM file_offsets WHERE _end_offset >= _start_offset),
 prev AS (
   SELECT *, MAX(e) OVER (PARTITION BY _consumer_group, _topic, _partition ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ok)
 """
