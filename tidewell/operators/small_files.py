@@ -75,7 +75,11 @@ def plan(file_stats: DataFrame, aim: int = AIM_BYTES, small: int = SMALL_BYTES)
 def regroup(test_table: DataFrame, file_stats: DataFrame, aim: int = AIM_BYTES) -> DataFrame:
     """Every row of test_table once, with directory and target of its file (null: not merged)."""
     moves = plan(file_stats, aim).select(F.col("_file_id").alias("__f"), "directory", "target")
-    return test_table.drop("__f", "directory", "target").join(moves, F.col("_file_id") == F.col("__f"), "left").drop("__f")
+    rows = test_table.drop("__f", "directory", "target")
+    filed = rows.filter("_file_id is not null").join(moves, F.col("_file_id") == F.col("__f"), "left").drop("__f")
+    # rows without a file, however many, stay where they are: as join keys their nulls would all meet in one task
+    loose = rows.filter("_file_id is null").withColumn("directory", F.lit(None).cast("string")).withColumn("target", F.lit(None).cast("bigint"))
+    return filed.unionByName(loose)
 
 
 _FRAMES = "_file_id bigint, frame binary, rows bigint, plain_bytes bigint, crc bigint"
