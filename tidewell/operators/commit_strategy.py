@@ -96,7 +96,7 @@ def total(stats: DataFrame, by: Sequence[str], strategy: AnyOf) -> DataFrame:
 
 def cut_by_count(records: DataFrame, group: Sequence[str], n: int = DEFAULT_RECORDS) -> DataFrame:
     """Adds batch: records of a group, in order of (timestamp_ms, topic, partition,
-    offset), cut every n.  Ranked by minutes of time, so a group isn't one task."""
-    minute = F.floor(F.col("timestamp_ms") / 60_000).cast("bigint")
-    order = ["timestamp_ms", "topic", "partition", "offset"]
-    return scan.running_count(records, group, order, "__rank", minute).withColumn("batch", F.floor(F.col("__rank") / n).cast("bigint")).drop("__rank")
+    offset), cut every n.  Ranked by ranges of that order, so neither a group nor
+    one time (records without any, say) is one task."""
+    ranked = scan.running_count(records, group, ["timestamp_ms", "topic", "partition", "offset"], "__rank")
+    return ranked.withColumn("batch", F.floor(F.col("__rank") / n).cast("bigint")).drop("__rank")

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import cut_lineage
+from tidewell.operators.scan import range_split
 
 
 def _usable(df: DataFrame, entity: Sequence[str], start: str, end: str) -> DataFrame:
@@ -31,8 +31,7 @@ def _usable(df: DataFrame, entity: Sequence[str], start: str, end: str) -> DataF
 def _scanned(df: DataFrame, entity: Sequence[str], start: str, end: str) -> tuple[DataFrame, list[str]]:
     """Rows (keys, __s, __e, __prev): __prev is the greatest end of all lower starts of the entity."""
     keys = [f"__k{i}" for i in range(len(entity))]
-    # ranges are drawn from a sample, so they are fixed once, in the shared folder
-    ranged = cut_lineage(_usable(df, entity, start, end).repartitionByRange(*keys, "__s").withColumn("__pid", F.spark_partition_id()))
+    ranged = range_split(_usable(df, entity, start, end), keys, ["__s"], "intervals")
     # an entity has one summary per range partition it reaches into
     summary = ranged.groupBy(*keys, "__pid").agg(F.max("__e").alias("__e"))
     before = Window.partitionBy(*keys).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,7 +68,7 @@ def periods(df: DataFrame, entity: Sequence[str], start: str, end: str) -> DataF
     # lists are sorted alike, so each head needs only the head that follows it
     ends = heads.select(*keys, F.col("__prev").alias("__end")).filter("__end is not null").unionByName(last.withColumnRenamed("__last", "__end"))
     marks = heads.select(*keys, F.col("__s").alias("__at"), F.lit(0).alias("__kind")).unionByName(ends.select(*keys, F.col("__end").alias("__at"), F.lit(1).alias("__kind")))
-    ordered = cut_lineage(marks.repartitionByRange(*keys, "__at", "__kind").withColumn("__pid", F.spark_partition_id()))
+    ordered = range_split(marks, keys, ["__at", "__kind"], "marks")
     # starts and ends alternate: a start's end is the next mark, in its own or the next partition of the entity
     firsts = ordered.groupBy(*keys, "__pid").agg(F.min(F.struct("__at", "__kind")).alias("__f"))
     follow = Window.partitionBy(*keys).orderBy("__pid")

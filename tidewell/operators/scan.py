@@ -14,9 +14,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import staged
+
 BLOCK_BITS = 12
 BLOCK = "__block"
 CARRY = "__carry"
+PID = "__pid"
 
 
 def block_of(order: Column, bits: int = BLOCK_BITS) -> Column:
@@ -57,20 +60,26 @@ def running_max(points: DataFrame, keys: Sequence[str], order: str, value: str,
     return rows.withColumn(out, F.max(value).over(w)).filter(~F.col("__is_carry")).drop(BLOCK, "__is_carry")
 
 
-def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, bucket: Column) -> DataFrame:
+def range_split(rows: DataFrame, keys: Sequence[str], order: Sequence[str], label: str) -> DataFrame:
+    """rows sorted into ranges of (keys, order), numbered by PID in that order.
+
+    Spark draws the ranges from a sample, so they are written once to the shared
+    folder before anything is combined over them.  A hot key, or one value of
+    the order, spreads over as many ranges as its rows need."""
+    return staged(rows.repartitionByRange(*keys, *order).withColumn(PID, F.spark_partition_id()), label)
+
+
+def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Adds out: the 0-based rank of a row within its key, in the given order.
 
-    bucket is a bigint that never falls along the order (the order's first
-    column, coarsened); it bounds what one task ranks.  Ranks within buckets are
-    shifted by the sizes of lower buckets, which are summed by super-buckets."""
+    Ranks within a range are shifted by the sizes of the key's lower ranges, of
+    which there are at most as many as shuffle partitions."""
     keys = list(keys)
-    marked = rows.withColumn(BLOCK, bucket)
-    sizes = marked.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("__n")).withColumn("__super", block_of(F.col(BLOCK)))
-    supers = sizes.groupBy(*keys, "__super").agg(F.sum("__n").alias("__n"))
-    below = Window.partitionBy(*keys).orderBy("__super").rowsBetween(Window.unboundedPreceding, -1)
-    supers = supers.select(*keys, "__super", F.coalesce(F.sum("__n").over(below), F.lit(0)).alias("__s"))
-    within = Window.partitionBy(*keys, "__super").orderBy(BLOCK).rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("__w", F.coalesce(F.sum("__n").over(within), F.lit(0))).join(supers, [*keys, "__super"])
-    starts = starts.select(*keys, BLOCK, (F.col("__s") + F.col("__w")).alias("__start"))
-    own = Window.partitionBy(*keys, BLOCK).orderBy(*order)
-    return marked.withColumn("__r", F.row_number().over(own) - 1).join(starts, [*keys, BLOCK]).withColumn(out, F.col("__start") + F.col("__r")).drop(BLOCK, "__r", "__start")
+    ranged = range_split(rows, keys, order, "ranks")
+    below = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy(*keys, PID).agg(F.count(F.lit(1)).alias("__n")).withColumn("__start", F.coalesce(F.sum("__n").over(below), F.lit(0))).drop("__n")
+    own = Window.partitionBy(*keys, PID).orderBy(*order)
+    ranked = ranged.withColumn("__r", F.row_number().over(own) - 1)
+    same = [ranked[k].eqNullSafe(starts[k]) for k in keys] + [ranked[PID] == starts[PID]]
+    joined = ranked.join(starts, same).select(*[ranked[c] for c in rows.columns], (starts["__start"] + ranked["__r"]).alias(out))
+    return joined

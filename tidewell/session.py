@@ -1,4 +1,4 @@
-"""Session helpers: table loading, checkpoint folder, time conversion."""
+"""Session helpers: table loading, the shared folder, time conversion."""
 
 from __future__ import annotations
 
@@ -37,15 +37,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder; keeps row placement."""
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(shared_dir(spark))
-    return df.checkpoint(eager=True)
-
-
 def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     """Lets Arrow batches to Python hold at most so many rows, for long texts.
 
@@ -75,9 +66,14 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 _written: list[tuple[SparkSession, str]] = []
 
 
-def release() -> None:
-    """Deletes what staged() wrote; frames read from it are void then.  Runs at exit."""
-    while _written:
+def staged_so_far() -> int:
+    return len(_written)
+
+
+def release(since: int = 0) -> None:
+    """Deletes what staged() wrote, or wrote since then; frames read from it are
+    void afterwards.  Runs at exit; a long-running stream calls it per batch."""
+    while len(_written) > since:
         spark, path = _written.pop()
         try:
             hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

@@ -20,6 +20,7 @@ from tidewell.commit.ledger import Key, positions_frame
 from tidewell.commit.protocols import Storage, is_committed
 from tidewell.model import KEYS, Position, Range
 from tidewell.operators import commit_strategy, formatting, ranges, routing, watermark
+from tidewell.session import release, staged_so_far
 from tidewell.sources import log as logs
 from tidewell.streaming.retry import Policy, on_failure_if
 
@@ -80,6 +81,7 @@ class Ingest:
         """One micro-batch."""
         self.build()
         spark = df.sparkSession
+        kept = staged_so_far()
         records = logs.scan(df).persist()
         try:
             partitions = {(r["topic"], r["partition"]) for r in records.select(*KEYS).distinct().collect()}  # as many as the log has
@@ -102,6 +104,7 @@ class Ingest:
                 cut.unpersist()
         finally:
             records.unpersist()
+            release(kept)
 
     def _commit_all(self, cut: DataFrame, at: dict[Key, Position | None]) -> None:
         # one row per batch and topic partition
