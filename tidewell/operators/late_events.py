@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import scan
-from tidewell.session import epoch_ms, ms_to_ntz
+from tidewell.session import epoch_ms, ms_to_ntz, utc
 
 HOUR_MS = 3_600_000
 LATENESS_MS = 2 * HOUR_MS
@@ -29,6 +29,7 @@ KEYS = ["topic", "partition"]
 
 def log_points(stream_record: DataFrame, test_table: DataFrame) -> DataFrame:
     """Both tables as points (topic, partition, offset, wm_ms, …)."""
+    utc(test_table.sparkSession)
     rec = stream_record.select(
         "topic", "partition", "offset",
         F.when(F.col("watermark_ms") >= 0, F.col("watermark_ms")).alias("wm_ms"),

@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.model import KEYS
-from tidewell.session import epoch_ms
+from tidewell.session import epoch_ms, utc
 
 
 def in_row(table: DataFrame, topic: str = "_topic", partition: str = "_partition", offset: str = "_offset", watermark: str = "_watermark") -> DataFrame:
     """From the rows' own columns, for all consumer groups."""
+    utc(table.sparkSession)
     return (
         table.filter(F.col(topic).isNotNull() & F.col(partition).isNotNull())
         .groupBy(F.col(topic).alias("topic"), F.col(partition).alias("partition"))
@@ -20,6 +21,7 @@ def in_row(table: DataFrame, topic: str = "_topic", partition: str = "_partition
 
 def external(file_offsets: DataFrame, group: str) -> DataFrame:
     """From the offset table of one consumer group."""
+    utc(file_offsets.sparkSession)
     return (
         file_offsets.filter((F.col("_consumer_group") == group) & F.col("_topic").isNotNull() & F.col("_partition").isNotNull())
         .groupBy(F.col("_topic").alias("topic"), F.col("_partition").alias("partition"))

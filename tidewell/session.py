@@ -51,14 +51,12 @@ def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder as zstd parquet and read it back.
 
-    Unlike cut_lineage it keeps columns prunable, so later passes read only
-    what they use.  The folder is unique, so a retried job never reads a
-    half-written one."""
+    It cuts lineage as a checkpoint does, but columns stay prunable, so later
+    passes read only what they use.  The folder is unique, so a retried job
+    never reads a half-written one."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/staged/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(release)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -82,6 +80,9 @@ def release(since: int = 0) -> None:
             return
 
 
+atexit.register(release)
+
+
 def epoch_ms(ts: Column) -> Column:
     """Milliseconds since the epoch (floor) of a timestamp or NTZ in UTC."""
     return F.unix_millis(ts.cast("timestamp"))
