@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.session import bounded_batches, staged
+from tidewell.session import bounded_batches, spread, staged
 
 CAPACITY = 4096
 #: Lengths above this share of the capacity are grouped, the rest fill gaps.
@@ -66,7 +66,7 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "
             n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return bounded_batches(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id bigint, tokens bigint")
+    return spread(bounded_batches(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t"))).mapInArrow(run, "doc_id bigint, tokens bigint")
 
 
 def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
