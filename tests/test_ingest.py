@@ -317,3 +317,11 @@ def test_payloads_files_and_names(spark):
     m = Ingest(storage=object()).metrics
     m.polled, m.commit_s = 3, [0.5]
     assert m.report("x") == {"x.records.polled": 3, "x.batch.commit.duration": 0.5}
+
+
+def test_an_entry_is_written_once_or_replaced(spark, tmp_path):
+    from tidewell.commit.storage import Folder
+
+    f = Folder(spark, str(tmp_path / "f"))
+    assert f.write("a/1.json", "x") and not f.write("a/1.json", "y") and f.read("a/1.json") == "x"
+    assert f.write("a/1.json", "ü", overwrite=True) and f.read("a/1.json") == "ü" and f.names("a") == ["1.json"] and f.names("none") == []

@@ -1,13 +1,16 @@
 """A folder of committed state on any file system Hadoop knows.
 
-Every entry is a small JSON file that appears by an atomic rename that fails
-if the name exists, so of two writers of one version one loses and retries."""
+Every entry is a small JSON file that appears by a rename that fails if the
+name exists, so of two writers of one version one loses and retries.  The
+rename is atomic on HDFS; a local file system checks and renames in two steps,
+so there only one writer is safe."""
 
 from __future__ import annotations
 
 import json
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark import SparkContext
 from pyspark.sql import SparkSession
 
@@ -53,21 +56,19 @@ class Folder:
             stream.close()
         target = self._p(name)
         self._fs.mkdirs(target.getParent())
-        if overwrite:
-            # a reader sees the old text or the new one: rename with the overwrite option is atomic
-            context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
-            option = self._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-            context.rename(self._p(temporary), target, self._array(option))
+        kinds = self._jvm.org.apache.hadoop.fs.Options.Rename
+        # overwriting, a reader sees the old text or the new one; else an existing name refuses
+        array = SparkContext._gateway.new_array(kinds, 1)
+        array[0] = kinds.OVERWRITE if overwrite else kinds.NONE
+        context = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self._conf)
+        try:
+            context.rename(self._p(temporary), target, array)
             return True
-        if self._fs.exists(target) or not self._fs.rename(self._p(temporary), target):
+        except Py4JJavaError as e:
             self._fs.delete(self._p(temporary), False)
+            if overwrite or not self._fs.exists(target):
+                raise OSError(f"{name} cannot be written") from e
             return False
-        return True
-
-    def _array(self, option):
-        array = SparkContext._gateway.new_array(self._jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        array[0] = option
-        return array
 
     def rename(self, source: str, target: str) -> bool:
         self._fs.mkdirs(self._p(target).getParent())
