@@ -17,6 +17,7 @@ from tidewell.operators.late_events import HOUR_MS
 from tidewell.session import epoch_ms, load, shared_dir
 from tidewell.sources import files
 from tidewell.sources import log as logs
+from tidewell.streaming import stateful
 from tidewell.streaming.engine import Ingest
 
 #: The clock of the watermark queries, and the time looked up in the log.
@@ -326,6 +327,25 @@ def _named(records: DataFrame) -> DataFrame:
     return kept.select(*KEYS, "offset", "watermark_ms", formatting.payload_fields(F.col("value"))[1].alias("name"))
 
 
+def stateful_watermark(spark: SparkSession, d: str) -> DataFrame:
+    """The running watermark by keyed state of a streaming query."""
+    load(spark, d, "stream_record")  # the session's time zone
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    base = f"{shared_dir(spark)}/stateful/{uuid.uuid4().hex}"
+    marked = stateful.running_watermark(spark.readStream.schema(RECORD).parquet(f"{d}/stream_record.parquet*"), NOW_MS)
+    query = marked.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(marked.schema).parquet(f"{base}/out").distinct()
+
+
+def file_paths(spark: SparkSession, d: str) -> DataFrame:
+    """Where a day's records of each partition parity go: paths that are a function of day and ranges."""
+    rows = _marked(spark, d).filter("timestamp_ms >= 0").withColumn("day", F.timestamp_millis("timestamp_ms").cast("date")).withColumn("part", F.col("partition") % 2)
+    each = ranges.by_file(rows, ["day", "part"])
+    names = F.transform("ranges", lambda r: F.struct(r["topic"].alias("topic"), r["partition"].alias("partition"), r["start_offset"].alias("start_offset"), r["end_offset"].alias("end_offset")))
+    return each.select("day", "part", files.TimePaths(extension="zst").column(F.col("day"), names).alias("path"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -333,7 +353,7 @@ QUERIES = {
         batch_committed, offsets_for_times, rewind_offset, rewind_watermark, rewind_split, group_routing, assign_revoke, format_flatmap, ranges_prefilter, records_written_vs_batched,
         partition_by_date, cut_by_count, commit_any, commit_all, commit_total, transform_truncate, file_offsets_left_join, dedup_token, offset_property, timestamp_format, csv_line, le_int,
         leb128_length, fixed_string, max_string, utf8_truncate, decimal_scaled, decimal_wide, float_bytes, native_time, rowbinary_time, rowbinary_row, native_row, two_phase_positions,
-        two_phase_recover, multiset_readback, streaming_ingest,
+        two_phase_recover, multiset_readback, streaming_ingest, stateful_watermark, file_paths,
     )
 }
 
@@ -453,6 +473,10 @@ SQL = {
       SELECT topic, "partition", CASE WHEN r.st != 'failed' THEN r.e + 1 ELSE r.s END AS "offset", CASE WHEN r.st != 'failed' THEN epoch_us(r.l) // 1000 ELSE epoch_us(r.l) // 1000 - 1000 END AS watermark_ms,
         r.st != 'failed' AND r.id % 2 != 0 AS store FROM r""",
     "multiset_readback": """SELECT CAST("timestamp" AS DATE) AS day, _topic, COUNT(*) AS records, COUNT(DISTINCT id) AS ids, CAST(SUM(money_spent) AS DECIMAL(38,6)) AS money_spent FROM test_table GROUP BY 1, 2""",
+    "stateful_watermark": _W + "SELECT topic, \"partition\", \"offset\", timestamp_ms, watermark_ms FROM w",
+    "file_paths": _L + """, f AS (SELECT CAST(make_timestamp(timestamp_ms * 1000) AS DATE) AS day, "partition" % 2 AS part, topic, "partition", MIN("offset") AS s, MAX("offset") AS e FROM log WHERE timestamp_ms >= 0 GROUP BY ALL),
+      h AS (SELECT day, part, md5(string_agg(concat_ws(':', topic, "partition", s, e), ';' ORDER BY topic, "partition")) AS h FROM f GROUP BY 1, 2)
+      SELECT day, part, strftime(day, 'dt=%Y%m%d') || '/' || concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) || '.zst' AS path FROM h""",
     "streaming_ingest": _W + """, pay AS (SELECT topic, "partition", "offset", MAX(value) AS value FROM stream_record GROUP BY ALL)
       SELECT w.topic, w."partition", w."offset", w.watermark_ms, string_split(decode(pay.value), ';')[2] AS name FROM w JOIN pay ON pay.topic = w.topic AND pay."partition" = w."partition" AND pay."offset" = w."offset" WHERE pay.value IS NOT NULL""",
 }
