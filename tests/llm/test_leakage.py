@@ -89,6 +89,22 @@ def test_paraphrases_keep_order_and_numbers(spark):
     assert (2, 1) not in found and (3, 1) not in found
 
 
+def test_a_paraphrase_with_words_outside_the_vocabulary_is_found(spark):
+    source = [*QUESTION[:11], "417", *QUESTION[11:23]]
+    swapped = [f"other{i}" if i % 6 == 2 else w for i, w in enumerate(source)]  # never 12 words of the item in a row
+    few = [f"other{i}" if i % 2 else w for i, w in enumerate(source)]
+    docs = documents(spark, {1: [" ".join(swapped)], 2: [" ".join(few)], 3: ["x"], 4: [" ".join(swapped)]})
+    found = rows(L.find_paraphrases(docs, spark.createDataFrame([item(1, source)], ITEMS)))
+    assert [r[:2] for r in found] == [(1, 1), (4, 1)]
+    assert rows(L.find_leaks(docs, spark.createDataFrame([item(1, source)], ITEMS))) == []
+
+
+def test_common_subsequences_of_pairs():
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 9, (300, 36)), rng.integers(0, 9, (300, 36))
+    assert L.common_subsequences(a, b).tolist() == [L.common_subsequence(x, y) for x, y in zip(a, b)]
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 4), max_size=9), st.lists(st.integers(0, 4), max_size=9))
 def test_common_subsequence(a, b):

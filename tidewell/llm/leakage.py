@@ -18,6 +18,10 @@ dropped.  Any run of 12 words lies whole in one passage of 24 taken every 12,
 on both sides.  Passages without 12 words of the items in a row
 hold no run and are skipped.  Document frequencies are over blocks of 12 words.
 
+Paraphrases have a filter of their own, also lossless: to keep a share of an
+item passage's words in order, a passage must hold at least as many words of it,
+wherever they stand and whatever stands between them.
+
 Texts are normalised first: escapes, entities, tags, invisible characters,
 line prefixes (quotes, comments, line numbers) and string joints vanish, case
 and punctuation too; a word broken at a line end is joined if that gives a
@@ -134,7 +138,7 @@ class Items:
         self.vocabulary = {w: n + 1 for n, w in enumerate(self.words)} | _MARKS
         if len(self.words) > 65_000:
             raise ValueError("a block of items has more words than passages can number; lower ITEMS_PER_BLOCK")
-        passages, owner = [], []
+        passages, whole, owner = [], [], []
         runs: dict[bytes, list[int]] = {}
         for item, ws in words:
             ids = np.array([self.vocabulary[w] for w in ws], np.uint16)
@@ -146,9 +150,13 @@ class Items:
                     owners.append(item)
             for i in range(0, max(1, len(ids) - RUN + 1), RUN):
                 passages.append(np.pad(ids[i : i + PASSAGE], (0, max(0, PASSAGE - len(ids[i : i + PASSAGE])))))
+                # behind a short last passage stand the item's last 24 words
+                last = ids[max(0, min(i, len(ids) - PASSAGE)) :][:PASSAGE]
+                whole.append(np.pad(last, (0, PASSAGE - len(last))))
                 owner.append(item)
         self.runs = runs
         self.passages = np.array(passages, np.uint16).reshape(-1, PASSAGE)
+        self.whole = np.array(whole, np.uint16).reshape(-1, PASSAGE)
         self.owner = np.array(owner, np.int64)
 
     @property
@@ -174,7 +182,53 @@ def passages_of(ids: np.ndarray) -> np.ndarray:
 _SCHEMA = "kind string, doc_id bigint, words binary, term int, n bigint, y array<float>"
 
 
-def _read(items: Items):
+def holds_run(blocks: np.ndarray) -> np.ndarray:
+    """Passages (by first block) that may hold a run of 12: 12 words of the items in a row."""
+    known = (blocks > 0).sum(1)
+    rich = np.flatnonzero(known[:-1] + known[1:] >= RUN)
+    if len(rich):
+        both = np.concatenate([blocks[rich], blocks[rich + 1]], axis=1) > 0
+        row_sum = np.cumsum(np.pad(both, ((0, 0), (1, 0))), axis=1)
+        rich = rich[(row_sum[:, RUN:] - row_sum[:, :-RUN] == RUN).any(axis=1)]
+    return rich
+
+
+class Overlap:
+    """Which passages hold enough words of an item passage to keep least_share of it."""
+
+    def __init__(self, passages: np.ndarray, size: int, least_share: float):
+        length = (passages > 0).sum(1)
+        # passages of fewer than 12 words are never asked for
+        self.need = np.where(length >= RUN, np.minimum(np.ceil(least_share * length), 255), 255).astype(np.uint8)
+        self.holds = np.zeros((size, len(passages)), np.uint8)
+        self.holds[passages.ravel(), np.repeat(np.arange(len(passages)), passages.shape[1])] = 1
+        self.holds[0] = 0
+
+    def counts(self, words: np.ndarray) -> np.ndarray:
+        """Rows of words x item passages: how many of the words are in the item passage."""
+        n = np.zeros((len(words), self.holds.shape[1]), np.uint8)
+        for k in range(words.shape[1]):
+            n += self.holds[words[:, k]]
+        return n
+
+    def pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.nonzero(self.counts(words) >= self.need)
+
+    def __call__(self, blocks: np.ndarray) -> np.ndarray:
+        """Passages (by first block) that hold enough words of any item passage."""
+        known = (blocks > 0).sum(1)
+        rich = np.flatnonzero(known[:-1] + known[1:] >= self.need.min())
+        out = []
+        for at in range(0, len(rich), 2048):
+            i = rich[at : at + 2048]
+            words = np.concatenate([blocks[i], blocks[i + 1]], axis=1)
+            out.append(i[(self.counts(words) >= self.need).any(axis=1)])
+        return np.concatenate(out) if out else rich
+
+
+def _read(items: Items, wanted=holds_run, around: int = 0):
+    """wanted: from all blocks of a step to the first blocks of the passages that
+    are searched; they come with so many blocks of the document before and after."""
     vocabulary, size = items.vocabulary, items.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,15 +276,15 @@ def _read(items: Items):
                 sketch[t[first]] += np.add.reduceat(zz[r], first, axis=0)
                 by_block = np.sort(flat, axis=1)
                 df += np.bincount(by_block[:, 0], minlength=size) + np.bincount(by_block[:, 1:][by_block[:, 1:] != by_block[:, :-1]], minlength=size)
-            # a passage that may hold a run of 12 has 12 words of the items in a row
-            rich = np.flatnonzero(known[:-1] + known[1:] >= RUN)
-            if len(rich):
-                both = np.concatenate([blocks[rich], blocks[rich + 1]], axis=1) > 0
-                row_sum = np.cumsum(np.pad(both, ((0, 0), (1, 0))), axis=1)
-                rich = rich[(row_sum[:, RUN:] - row_sum[:, :-RUN] == RUN).any(axis=1)]
-            for i in rich.tolist():
+            rich = wanted(blocks)
+            # not from the non-words between two documents into the next
+            rich = rich[block_doc[rich] == block_doc[rich + 1]]
+            places = rich[:, None] + np.arange(-around, 2 + around)
+            inside = np.clip(places, 0, len(blocks) - 1)
+            words = np.where(((places == inside) & (block_doc[inside] == block_doc[rich][:, None]))[:, :, None], blocks[inside], 0).astype(np.uint16)
+            for i, w in zip(rich.tolist(), words, strict=True):
                 docs.append(owners[block_doc[i]])
-                hits.append(stream[i * RUN : i * RUN + PASSAGE].tobytes())
+                hits.append(w.tobytes())
             if docs:
                 n = len(docs)
                 yield _batch(["passage"] * n, docs, hits, [None] * n, [None] * n, [None] * n)
@@ -336,8 +390,8 @@ def find_leaks(documents: DataFrame, eval_items: DataFrame) -> DataFrame:
     return out.distinct()
 
 
-def _searched(documents: DataFrame, items: Items) -> tuple[DataFrame, Search]:
-    read = staged(spread(bounded_batches(documents).select("doc_id", "text", "cells")).mapInArrow(_read(items), _SCHEMA), "passages")
+def _searched(documents: DataFrame, items: Items, wanted=holds_run, around: int = 0) -> tuple[DataFrame, Search]:
+    read = staged(spread(bounded_batches(documents).select("doc_id", "text", "cells")).mapInArrow(_read(items, wanted, around), _SCHEMA), "passages")
     weight, basis = latent_basis(read, items.size)
     return read.filter("kind = 'passage'").select("doc_id", "words"), Search(items, weight, basis)
 
@@ -381,10 +435,36 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
     return int(best[-1])
 
 
+def common_subsequences(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """common_subsequence of each row of a with the row of b, of at most 62 words: a bit per word of b."""
+    bit = np.int64(1) << np.arange(b.shape[1], dtype=np.int64)
+    full = np.int64((1 << b.shape[1]) - 1)
+    open_ = np.full(len(a), full)
+    for k in range(a.shape[1]):
+        match = ((b == a[:, k, None]) & (a[:, k, None] > 0)) @ bit
+        open_ = ((open_ + (open_ & match)) | (open_ & ~match)) & full
+    return b.shape[1] - np.bitwise_count(open_).astype(np.int64)
+
+
+def keeps_numbers(a: np.ndarray, b: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+    """Whether each row of a holds every number of the row of b."""
+    ok = np.ones(len(a), bool)
+    for k in range(b.shape[1]):
+        asked = np.flatnonzero(ok & numbers[b[:, k]])
+        ok[asked] = (a[asked] == b[asked, k, None]).any(1)
+    return ok
+
+
+#: Pairs of passages that are compared at once.
+PAIRS = 20_000
+
+
 def find_paraphrases(documents: DataFrame, eval_items: DataFrame, least_cosine: float = 0.5, least_share: float = 0.6) -> DataFrame:
     """(doc_id, item_id, words, share): passages close to an item passage in the
     latent space that keep least_share of its words in order and, the answer
-    check, every number of it."""
+    check, every number of it.  Words between, of no item too, don't matter.
+    Where the item's last passage is a shorter one, and the item's last 24 words
+    are kept too, so must be their numbers."""
     out = None
     for rows in _blocks(eval_items, "item_id", "text"):
         items = Items(rows)
@@ -392,27 +472,41 @@ def find_paraphrases(documents: DataFrame, eval_items: DataFrame, least_cosine:
             found = documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, words bigint, share double")
             out = found if out is None else out.unionByName(found)
             continue
-        passages, search = _searched(documents, items)
-        shared = documents.sparkSession.sparkContext.broadcast(search)
+        overlap = Overlap(items.passages, items.size, least_share)
+        passages, search = _searched(documents, items, overlap, around=1)
+        shared = documents.sparkSession.sparkContext.broadcast((search, overlap))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            s = shared.value
+            s, overlap = shared.value
             numbers = np.array([False, *[w.isdigit() for w in s.items.words]])
             length = (s.items.passages > 0).sum(1)
             for batch in batches:
-                docs, rows = batch.column(0).to_pylist(), []
-                words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, PASSAGE)
+                docs = batch.column(0).to_numpy()
+                words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, 2 * PASSAGE)
+                columns = [[np.zeros(0, kind)] for kind in (np.int64, np.int64, np.int64, np.float64)]
                 for at in range(0, len(words), s.chunk):
-                    part = words[at : at + s.chunk]
+                    near = words[at : at + s.chunk]
+                    part = near[:, RUN:-RUN]
                     x = s.vectors(part)
-                    d = x @ s.basis
-                    cosine = (d @ s.latent.T) / np.maximum(np.sqrt((x * x).sum(1))[:, None] * s.norm[None, :], 1e-9)
-                    for a, b in zip(*np.nonzero(cosine >= least_cosine), strict=True):
-                        want = s.items.passages[b]
-                        kept = common_subsequence(part[a], want)
-                        if length[b] >= RUN and kept >= least_share * length[b] and np.isin(want[numbers[want]], part[a]).all():
-                            rows.append((docs[at + a], int(s.items.owner[b]), kept, kept / float(length[b])))
-                c = list(zip(*rows, strict=True)) or [[]] * 4
+                    d, norm = x @ s.basis, np.sqrt((x * x).sum(1))
+                    i, j = overlap.pairs(part)
+                    for k in range(0, len(i), PAIRS):
+                        a, b = i[k : k + PAIRS], j[k : k + PAIRS]
+                        kept = common_subsequences(part[a], s.items.passages[b])
+                        good = (length[b] >= RUN) & (kept >= least_share * length[b])
+                        a, b, kept = a[good], b[good], kept[good]
+                        good = keeps_numbers(part[a], s.items.passages[b], numbers)
+                        a, b, kept = a[good], b[good], kept[good]
+                        good = np.ones(len(a), bool)
+                        short = np.flatnonzero((s.items.whole[b] != s.items.passages[b]).any(1))
+                        held = common_subsequences(near[a[short]], s.items.whole[b[short]]) >= least_share * PASSAGE
+                        good[short] = ~held | keeps_numbers(near[a[short]], s.items.whole[b[short]], numbers)
+                        a, b, kept = a[good], b[good], kept[good]
+                        good = (d[a] * s.latent[b]).sum(1) / np.maximum(norm[a] * s.norm[b], 1e-9) >= least_cosine
+                        a, b, kept = a[good], b[good], kept[good]
+                        for c, v in zip(columns, (docs[at + a], s.items.owner[b], kept, kept / length[b]), strict=True):
+                            c.append(v)
+                c = [np.concatenate(v) for v in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64())], ["doc_id", "item_id", "words", "share"])
 
         found = passages.mapInArrow(run, "doc_id bigint, item_id bigint, words bigint, share double")
