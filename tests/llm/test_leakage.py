@@ -99,6 +99,19 @@ def test_a_paraphrase_with_words_outside_the_vocabulary_is_found(spark):
     assert rows(L.find_leaks(docs, spark.createDataFrame([item(1, source)], ITEMS))) == []
 
 
+def test_a_part_of_an_item_is_found_wherever_it_begins(spark):
+    source = [*QUESTION[:8], "417", *QUESTION[8:], *WORDS[30:]]
+    docs = {}
+    for offset in range(12):
+        for begin in range(9):  # these 24 words hold the number, at last as their first
+            docs[12 * begin + offset] = [" ".join(["pad"] * offset + source[begin : begin + 24])]
+    changed = [w if w != "417" else "418" for w in source[:24]]
+    docs[900] = [" ".join(changed)]
+    items = spark.createDataFrame([item(1, source)], ITEMS)
+    got = {r[0]: r[2] for r in rows(L.find_paraphrases(documents(spark, docs), items)) if r[0] != 900}
+    assert got == {d: 24 for d in docs if d != 900}
+
+
 def test_common_subsequences_of_pairs():
     rng = np.random.default_rng(1)
     a, b = rng.integers(0, 9, (300, 36)), rng.integers(0, 9, (300, 36))

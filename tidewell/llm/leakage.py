@@ -138,7 +138,7 @@ class Items:
         self.vocabulary = {w: n + 1 for n, w in enumerate(self.words)} | _MARKS
         if len(self.words) > 65_000:
             raise ValueError("a block of items has more words than passages can number; lower ITEMS_PER_BLOCK")
-        passages, whole, owner = [], [], []
+        passages, whole, wide, owner = [], [], [], []
         runs: dict[bytes, list[int]] = {}
         for item, ws in words:
             ids = np.array([self.vocabulary[w] for w in ws], np.uint16)
@@ -153,9 +153,12 @@ class Items:
                 # behind a short last passage stand the item's last 24 words
                 last = ids[max(0, min(i, len(ids) - PASSAGE)) :][:PASSAGE]
                 whole.append(np.pad(last, (0, PASSAGE - len(last))))
+                wide.append(np.pad(ids[i : i + PASSAGE + RUN], (0, max(0, PASSAGE + RUN - len(ids[i : i + PASSAGE + RUN])))))
                 owner.append(item)
         self.runs = runs
         self.passages = np.array(passages, np.uint16).reshape(-1, PASSAGE)
+        #: With the 12 words that follow: these hold all 24 words in a row that begin in the first 12.
+        self.wide = np.array(wide, np.uint16).reshape(-1, PASSAGE + RUN)
         self.whole = np.array(whole, np.uint16).reshape(-1, PASSAGE)
         self.owner = np.array(owner, np.int64)
 
@@ -197,7 +200,7 @@ class Overlap:
     """Which passages hold enough words of an item passage to keep least_share of it."""
 
     def __init__(self, passages: np.ndarray, size: int, least_share: float):
-        length = (passages > 0).sum(1)
+        length = np.minimum((passages > 0).sum(1), PASSAGE)
         # passages of fewer than 12 words are never asked for
         self.need = np.where(length >= RUN, np.minimum(np.ceil(least_share * length), 255), 255).astype(np.uint8)
         self.holds = np.zeros((size, len(passages)), np.uint8)
@@ -215,13 +218,15 @@ class Overlap:
         return np.nonzero(self.counts(words) >= self.need)
 
     def __call__(self, blocks: np.ndarray) -> np.ndarray:
-        """Passages (by first block) that hold enough words of any item passage."""
-        known = (blocks > 0).sum(1)
-        rich = np.flatnonzero(known[:-1] + known[1:] >= self.need.min())
+        """Places (by first block) that hold enough words of any item passage in three blocks.
+
+        24 words in a row, wherever they begin, lie in the three blocks from their first on."""
+        known = np.pad((blocks > 0).sum(1), (0, 1))
+        rich = np.flatnonzero(known[:-2] + known[1:-1] + known[2:] >= self.need.min())
         out = []
         for at in range(0, len(rich), 2048):
             i = rich[at : at + 2048]
-            words = np.concatenate([blocks[i], blocks[i + 1]], axis=1)
+            words = np.concatenate([blocks[i], blocks[i + 1], blocks[np.minimum(i + 2, len(blocks) - 1)]], axis=1)
             out.append(i[(self.counts(words) >= self.need).any(axis=1)])
         return np.concatenate(out) if out else rich
 
@@ -459,12 +464,48 @@ def keeps_numbers(a: np.ndarray, b: np.ndarray, numbers: np.ndarray) -> np.ndarr
 PAIRS = 20_000
 
 
+def _aligned(s: Search, near: np.ndarray, a: np.ndarray, b: np.ndarray, numbers: np.ndarray, least_cosine: float, least_share: float) -> Iterator[tuple[np.ndarray, ...]]:
+    """(place, item passage, words, share) of the pairs that agree in some 24 words of
+    near[a] that begin in its second 12, and some of wide[b] that begin in its first."""
+    for y in range(RUN):
+        # 24 words of the item that begin at y; the item's last passage may be shorter
+        want = s.items.wide[b, y : y + PASSAGE]
+        size = (want > 0).sum(1)
+        fit = np.flatnonzero((size == PASSAGE) | ((y == 0) & (size >= RUN)))
+        if not len(fit):
+            continue
+        p, q, want, size = a[fit], b[fit], want[fit], size[fit]
+        held = common_subsequences(near[p, RUN:], want) >= least_share * size
+        held &= keeps_numbers(near[p, RUN:], want, numbers)
+        p, q, want, size = p[held], q[held], want[held], size[held]
+        good = np.ones(len(p), bool)
+        short = np.flatnonzero(size < PASSAGE)
+        last = s.items.whole[q[short]]
+        good[short] = (common_subsequences(near[p[short]], last) < least_share * PASSAGE) | keeps_numbers(near[p[short]], last, numbers)
+        p, q, want, size = p[good], q[good], want[good], size[good]
+        if not len(p):
+            continue
+        # what 24 words begin at x, of all places and x at once
+        row = np.repeat(np.arange(len(p)), RUN)
+        have = np.lib.stride_tricks.sliding_window_view(near[p, RUN:], PASSAGE, axis=1)[:, :RUN].reshape(-1, PASSAGE)
+        kept = common_subsequences(have, want[row])
+        good = (kept >= least_share * size[row]) & keeps_numbers(have, want[row], numbers)
+        row, have, kept = row[good], have[good], kept[good]
+        for k in range(0, len(row), 2000):
+            r, h, n = row[k : k + 2000], have[k : k + 2000], kept[k : k + 2000]
+            x, z = s.vectors(h), s.vectors(want[r])
+            norm = np.sqrt((x * x).sum(1) * (z * z).sum(1))
+            close = ((x @ s.basis) * (z @ s.basis)).sum(1) / np.maximum(norm, 1e-9) >= least_cosine
+            yield p[r[close]], q[r[close]], n[close], n[close] / size[r[close]]
+
+
 def find_paraphrases(documents: DataFrame, eval_items: DataFrame, least_cosine: float = 0.5, least_share: float = 0.6) -> DataFrame:
-    """(doc_id, item_id, words, share): passages close to an item passage in the
-    latent space that keep least_share of its words in order and, the answer
-    check, every number of it.  Words between, of no item too, don't matter.
-    Where the item's last passage is a shorter one, and the item's last 24 words
-    are kept too, so must be their numbers."""
+    """(doc_id, item_id, words, share): 24 words of a document, wherever they begin,
+    close in the latent space to 24 words in a row of an item, which keep
+    least_share of these words in order and, the answer check, every number of
+    them.  Words between, of no item too, don't matter.  An item's last passage
+    may be shorter, from 12 words on; where the item's last 24 words are kept
+    too, so must be their numbers."""
     out = None
     for rows in _blocks(eval_items, "item_id", "text"):
         items = Items(rows)
@@ -472,40 +513,29 @@ def find_paraphrases(documents: DataFrame, eval_items: DataFrame, least_cosine:
             found = documents.sparkSession.createDataFrame([], "doc_id bigint, item_id bigint, words bigint, share double")
             out = found if out is None else out.unionByName(found)
             continue
-        overlap = Overlap(items.passages, items.size, least_share)
+        overlap = Overlap(items.wide, items.size, least_share)
         passages, search = _searched(documents, items, overlap, around=1)
         shared = documents.sparkSession.sparkContext.broadcast((search, overlap))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             s, overlap = shared.value
             numbers = np.array([False, *[w.isdigit() for w in s.items.words]])
-            length = (s.items.passages > 0).sum(1)
             for batch in batches:
                 docs = batch.column(0).to_numpy()
                 words = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, 2 * PASSAGE)
                 columns = [[np.zeros(0, kind)] for kind in (np.int64, np.int64, np.int64, np.float64)]
                 for at in range(0, len(words), s.chunk):
                     near = words[at : at + s.chunk]
-                    part = near[:, RUN:-RUN]
-                    x = s.vectors(part)
-                    d, norm = x @ s.basis, np.sqrt((x * x).sum(1))
+                    part = near[:, RUN:]
                     i, j = overlap.pairs(part)
                     for k in range(0, len(i), PAIRS):
                         a, b = i[k : k + PAIRS], j[k : k + PAIRS]
-                        kept = common_subsequences(part[a], s.items.passages[b])
-                        good = (length[b] >= RUN) & (kept >= least_share * length[b])
-                        a, b, kept = a[good], b[good], kept[good]
-                        good = keeps_numbers(part[a], s.items.passages[b], numbers)
-                        a, b, kept = a[good], b[good], kept[good]
-                        good = np.ones(len(a), bool)
-                        short = np.flatnonzero((s.items.whole[b] != s.items.passages[b]).any(1))
-                        held = common_subsequences(near[a[short]], s.items.whole[b[short]]) >= least_share * PASSAGE
-                        good[short] = ~held | keeps_numbers(near[a[short]], s.items.whole[b[short]], numbers)
-                        a, b, kept = a[good], b[good], kept[good]
-                        good = (d[a] * s.latent[b]).sum(1) / np.maximum(norm[a] * s.norm[b], 1e-9) >= least_cosine
-                        a, b, kept = a[good], b[good], kept[good]
-                        for c, v in zip(columns, (docs[at + a], s.items.owner[b], kept, kept / length[b]), strict=True):
-                            c.append(v)
+                        good = common_subsequences(part[a], s.items.wide[b]) >= overlap.need[b]
+                        a, b = a[good], b[good]
+                        for m in range(0, len(a), PAIRS // RUN):
+                            for found in _aligned(s, near, a[m : m + PAIRS // RUN], b[m : m + PAIRS // RUN], numbers, least_cosine, least_share):
+                                for c, v in zip(columns, (docs[at + found[0]], s.items.owner[found[1]], *found[2:]), strict=True):
+                                    c.append(v)
                 c = [np.concatenate(v) for v in columns]
                 yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.float64())], ["doc_id", "item_id", "words", "share"])
 
