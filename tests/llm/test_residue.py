@@ -60,3 +60,9 @@ def test_nulls_empties_long_cells_repeats_and_extra_columns(spark):
     df = df.unionByName(extra).unionByName(df).withColumn("passage", F.lit("x")).withColumn("kind", F.lit("df"))
     assert rows(R.find_residue(df)) == [(1,)]
     assert rows(R.find_residue(df.limit(0))) == []
+
+
+def test_a_repeated_unit_counts_in_a_long_mixed_cell(spark):
+    many = " ".join(f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
+    docs = {1: [("markdown", f"{many}\n\nblurb blurb blurb blurb blurb\n\n{many}")], 2: [("markdown", many)], 3: [("raw", f"{many}\nzork <b>zork</b> zork zork")], 4: [("markdown", f"{many}\n`blurb blurb blurb blurb`")]}
+    assert rows(R.find_residue(documents(spark, docs))) == [(1,), (3,)]

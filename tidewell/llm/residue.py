@@ -40,8 +40,6 @@ LINE_SHARE = 0.6
 #: Least words of a filler window, and distinct filler terms that retrieve it.
 FILLER_WORDS = 4
 FILLER_TERMS = 3
-#: A passage of so few distinct terms is looked through for one unit over and over.
-FEW_TERMS = 40
 
 #: Labelled exemplars: error pages and notices that something is required.
 MESSAGES = """
@@ -218,10 +216,12 @@ def _scan(exemplars: Exemplars):
                     if kind not in ("markdown", "raw"):
                         continue
                     passages += 1
-                    distinct = set(_token.findall(text.lower()))
+                    tokens = terms_of(text)
+                    distinct = set(tokens)
                     found = vocabulary & distinct
                     df.update(found)
-                    if len(distinct) <= FEW_TERMS and repeats([terms_of(x) for x in text.split("\n")]):
+                    # what is repeated four times leaves three terms fewer; the test is that of the judge
+                    if len(tokens) >= len(distinct) + 3 and repeats(bare_lines(text)):
                         rows.append(("passage", doc, text, None, 1))
                         continue
                     if not marked and placeholder(text):
@@ -249,11 +249,14 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
     )
 
 
+def bare_lines(text: str) -> list[list[str]]:
+    """The terms of each line without tags, code, quotations and formulas."""
+    return [terms_of(x) for x in _quoted.sub(" ", _tag.sub(" ", _head.sub(" ", text))).split("\n")]
+
+
 def contains_residue(text: str, exemplars: Exemplars, idf: dict[str, float], default: float) -> bool:
     """Whether a window of the passage contains a message or prompt, or is filler."""
-    plain = _tag.sub(" ", _head.sub(" ", text))
-    bare = _quoted.sub(" ", plain)
-    lines = [terms_of(x) for x in bare.split("\n")]
+    lines = bare_lines(text)
     words = [t for line in lines for t in line]
     line_of = [i for i, line in enumerate(lines) for _ in line]
     if not words:
