@@ -66,3 +66,8 @@ def test_a_repeated_unit_counts_in_a_long_mixed_cell(spark):
     many = " ".join(f"term{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(300))
     docs = {1: [("markdown", f"{many}\n\nblurb blurb blurb blurb blurb\n\n{many}")], 2: [("markdown", many)], 3: [("raw", f"{many}\nzork <b>zork</b> zork zork")], 4: [("markdown", f"{many}\n`blurb blurb blurb blurb`")]}
     assert rows(R.find_residue(documents(spark, docs))) == [(1,), (3,)]
+
+
+def test_repeated_tags_do_not_hide_a_placeholder(spark):
+    docs = {1: [("markdown", "<td></td><td></td>\n{{ title }}")], 2: [("raw", "<br><br><br><br>\n{{ title }}")], 3: [("markdown", "<td></td><td></td>\nplain words")]}
+    assert rows(R.find_residue(documents(spark, docs))) == [(1,), (2,)]
