@@ -1,3 +1,4 @@
+import heldout
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
@@ -71,3 +72,31 @@ def test_a_repeated_unit_counts_in_a_long_mixed_cell(spark):
 def test_repeated_tags_do_not_hide_a_placeholder(spark):
     docs = {1: [("markdown", "<td></td><td></td>\n{{ title }}")], 2: [("raw", "<br><br><br><br>\n{{ title }}")], 3: [("markdown", "<td></td><td></td>\nplain words")]}
     assert rows(R.find_residue(documents(spark, docs))) == [(1,), (2,)]
+
+
+def _lines(text):
+    return [x for x in text.strip().split("\n") if x]
+
+
+def test_wordings_held_out_by_family_and_language(spark):
+    batches = {**{k: _lines(v) for k, v in heldout.FIRST.items()}, "second": _lines(heldout.SECOND), "third": _lines(heldout.THIRD), "fourth": _lines(heldout.FOURTH), "fifth": _lines(heldout.FIFTH)}
+    residue = [x for v in batches.values() for x in v]
+    prose = _lines(heldout.PROSE) + _lines(heldout.MORE_PROSE)
+    exemplars = {x.lower() for s in (R.MESSAGES, R.PROMPTS, R.NAMED_FILLERS) for x in _lines(s)}
+    shared = [x for x in residue if x.lower().rstrip(".!") in exemplars]
+    residue = [x for x in residue if x not in shared]
+    docs = {i: [("markdown", PROSE), ("markdown", x)] for i, x in enumerate(residue + prose)}
+    found = {r[0] for r in rows(R.find_residue(documents(spark, docs)))}
+    hits = sum(i in found for i in range(len(residue)))
+    assert hits >= 0.9 * len(residue)
+    assert hits >= 0.95 * len(found)  # precision, on prose that speaks of the same things
+    for name, lines in batches.items():
+        own = [i for i, x in enumerate(residue) if x in lines]
+        assert sum(i in found for i in own) >= 0.8 * len(own), name
+
+
+def test_patterns_have_no_greatest_length(spark):
+    long = "_".join(["display", "name"] * 60)
+    many = " ".join(["street", "address"] * 80)
+    docs = {1: [("markdown", "{{ user." + long + " }}")], 2: [("markdown", f"[Your {many} goes here]")], 3: [("markdown", f'He wrote "{many} {{{{ title }}}} {many}" on it.')], 4: [("markdown", f"<img alt='{many * 9}'>plain words")]}
+    assert rows(R.find_residue(documents(spark, docs))) == [(1,), (2,)]
