@@ -9,8 +9,9 @@ small documents, best fit, largest first.
 
 All of that is arithmetic on the histogram of lengths: at most `capacity`
 counts, whatever the number of documents.  The plan says which ranks of which
-length go to which containers; documents get their rank by salted counts, so
-neither the driver nor a task ever holds all documents of a length.
+length go to which containers; documents get their rank by ranges of (length,
+document), so a length that holds a third of all pieces spreads over as many
+tasks as its rows need, and neither the driver nor a task ever holds all of it.
 
 Only a text longer than the capacity is cut, into full containers and a rest.
 
@@ -28,17 +29,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewell.session import bounded_batches, spread, staged
+from tidewell.operators import scan
+from tidewell.session import bounded_batches, staged
 
 CAPACITY = 4096
 #: Lengths above this share of the capacity are grouped, the rest fill gaps.
 LARGE = 1 / 3
 GROUPS = 32
-#: Parts of a length that are ranked apart from each other.
-SALTS = 64
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The pre-tokenizer pattern of the vocabulary file, a fixed value.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -46,27 +46,28 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 _encoders: dict[str, object] = {}
 
 
-def _encoder(path: str):
+def _encoder(name: str, vocabulary: bytes):
     """One tokenizer per worker process."""
-    if path not in _encoders:
+    if name not in _encoders:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _encoders[path] = tiktoken.Encoding(os.path.basename(path), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
-    return _encoders[path]
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
+        _encoders[name] = tiktoken.Encoding(os.path.basename(name), pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return _encoders[name]
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, tokens) of whole texts."""
+    """(doc_id, tokens) of whole texts.  The vocabulary file, some hundred kB, is read by the driver only."""
+    with open(tokenizer, "rb") as f:
+        vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoder(tokenizer).encode_ordinary
+        encode = _encoder(tokenizer, vocabulary.value).encode_ordinary
         for b in batches:
             n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return spread(bounded_batches(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t"))).mapInArrow(run, "doc_id bigint, tokens bigint")
+    return bounded_batches(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id bigint, tokens bigint")
 
 
 def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -264,19 +265,9 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, large: float = LAR
     return out, containers
 
 
-def _salt() -> Column:
-    return F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int")
-
-
 def ranked(items: DataFrame) -> DataFrame:
-    """Adds rank: 0.. within each length.  A hot length is ranked in salted parts;
-    rows are shuffled once, as the window and the join have the same keys."""
-    salted = items.withColumn("salt", _salt())
-    sizes = salted.groupBy("tokens", "salt").agg(F.count(F.lit(1)).alias("n"))  # at most capacity * SALTS rows
-    before = Window.partitionBy("tokens").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select("tokens", "salt", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("tokens", "salt").orderBy("doc_id", "piece")
-    return salted.withColumn("r", F.row_number().over(own) - 1).join(starts, ["tokens", "salt"]).select("doc_id", "piece", "tokens", (F.col("start") + F.col("r")).alias("rank"))
+    """Adds rank: 0.. within each length, by document and piece."""
+    return scan.running_count(items.select("doc_id", "piece", "tokens"), ["tokens"], ["doc_id", "piece"], "rank").select("doc_id", "piece", "tokens", F.col("rank").cast("bigint"))
 
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, large: float = LARGE, groups: int = GROUPS) -> DataFrame:
@@ -316,3 +307,12 @@ def fill(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return packed.groupBy("container").agg(
         F.count(F.lit(1)).alias("documents"), F.sum("tokens").cast("bigint").alias("tokens"), (F.lit(capacity) - F.sum("tokens")).cast("bigint").alias("room")
     )
+
+
+def waste(packed: DataFrame, capacity: int = CAPACITY) -> DataFrame:
+    """(pieces, tokens, containers, least): the containers used against the least that any packing of so many tokens needs."""
+    each = fill(packed, capacity)
+    return each.agg(
+        F.coalesce(F.sum("documents"), F.lit(0)).cast("bigint").alias("pieces"), F.coalesce(F.sum("tokens"), F.lit(0)).cast("bigint").alias("tokens"), F.count(F.lit(1)).alias("containers"),
+        F.ceil(F.coalesce(F.sum("tokens"), F.lit(0)) / capacity).cast("bigint").alias("least"),
+    )
