@@ -2,10 +2,13 @@
 
 A record is (topic, partition, offset).  Its current content is the row with
 the greatest file id, its saved content the row that the last successful run
-saw.  Leaves are ranges of 2**LEAF_BITS offsets of one topic partition; a
-leaf's digest combines the digests of its records, a parent's those of its
-children.  diff() descends from the roots only into nodes whose current and
-saved digests differ and extracts the records of changed leaves.
+saw.  Leaves are ranges of 2**LEAF_BITS offsets of one topic partition.  A leaf's
+current digest combines the digests of all its stored rows, its saved digest
+those of the rows that the last successful runs saw; a parent's digests combine
+those of its children.  Leaves need no versions of a record to be compared, so
+they come from one hash aggregation.  changed_leaves() descends from the roots
+only into nodes whose current and saved digests differ; only the rows of leaves
+reached that way are grouped by record, and their contents compared.
 
 Defined results: rows with a null key part count in nothing; rows with a null
 file id are seen by no run; of rows with the same record and file id the one
@@ -32,6 +35,8 @@ NO_FILE = -(1 << 62)
 LEAF_BITS = 8
 FANOUT_BITS = 6
 LEVELS = 4
+#: Changed leaves (about 50 bytes each) that may be broadcast.
+BROADCAST_LEAVES = 200_000
 
 
 def content_digest(columns: Sequence[str], arrays: Sequence[str] = ("child_ids",)) -> Column:
@@ -74,12 +79,12 @@ def _levels(ranges: DataFrame) -> int:
     return min(62, int(widest).bit_length())
 
 
-def record_states(test_table: DataFrame, run_ledger: DataFrame, columns: Sequence[str] = CONTENT) -> DataFrame:
-    """(_topic, _partition, __block, _offset, current, saved): digests per record.
+def row_digests(test_table: DataFrame, run_ledger: DataFrame, columns: Sequence[str] = CONTENT) -> DataFrame:
+    """(_topic, _partition, _offset, f, a, b, seen): file id and digest of each stored
+    row, and whether a successful run has seen it.
 
-    saved is null where no successful run has seen the record.  Which run
-    covers an offset is an as-of lookup of the last coverage point at or below
-    it: a running maximum of (at, seen), by blocks of offsets."""
+    Which run covers an offset is an as-of lookup of the last coverage point at
+    or below it: a running maximum of (at, seen), by blocks of offsets."""
     rows = test_table.filter("_topic is not null and _partition is not null and _offset is not null").select(
         *KEYS, "_offset", F.struct(F.coalesce("_file_id", F.lit(NO_FILE)).alias("f"), content_digest(columns).alias("h")).alias("row"), F.lit(None).cast("struct<at:bigint,seen:bigint>").alias("point")
     )
@@ -88,31 +93,24 @@ def record_states(test_table: DataFrame, run_ledger: DataFrame, columns: Sequenc
     points = staged(coverage_points(ranges, _levels(ranges)), "coverage").select(*KEYS, F.col("at").alias("_offset"), F.struct("at", "seen").alias("point"))
     carried = scan.with_carries(rows.unionByName(points, allowMissingColumns=True), KEYS, "_offset", "point")
     w = Window.partitionBy(*KEYS, scan.BLOCK).orderBy("_offset").rangeBetween(Window.unboundedPreceding, 0)
-    known = carried.withColumn("seen", F.max("point").over(w)["seen"]).filter("row is not null")
-    saved = F.max(F.when((F.col("row.f") <= F.col("seen")) & (F.col("row.f") != NO_FILE), F.col("row")))
-    return known.groupBy(*KEYS, scan.BLOCK, "_offset").agg(F.max("row")["h"].alias("current"), saved["h"].alias("saved"))
+    known = carried.withColumn("upto", F.max("point").over(w)["seen"]).filter("row is not null")
+    seen = F.coalesce((F.col("row.f") <= F.col("upto")) & (F.col("row.f") != NO_FILE), F.lit(False))
+    return known.select(*KEYS, "_offset", "row.f", "row.h.a", "row.h.b", seen.alias("seen"))
 
 
-def _mix(key: Sequence[Column], digest: Column) -> Column:
-    """A record's digest with its key, 0 for an absent record, safe to xor."""
-    return F.when(digest.isNotNull(), F.xxhash64(*key, digest["a"], digest["b"])).otherwise(F.lit(0).cast("bigint"))
+def leaves(rows: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFrame:
+    """(_topic, _partition, node, current, saved): digests of leaf ranges.
 
+    A pair (xor, count) of independently keyed hashes makes up a digest; rows
+    that cancel each other out still count.  Combined before the shuffle."""
+    key = [F.col("_topic"), F.col("_partition"), F.col("_offset"), F.col("f"), F.col("a"), F.col("b")]
+    both = [F.xxhash64(*key), F.xxhash64(*reversed(key), F.lit(104729))]
 
-def leaves(states: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFrame:
-    """(_topic, _partition, node, current, saved, changed): digests of leaf ranges
-    and the offsets in them, at most 2**leaf_bits, that differ.  The pair (xor,
-    count) of independently keyed hashes makes up a digest.  States lie by
-    blocks of offsets already, so nothing is shuffled."""
-    key = [F.col("_topic"), F.col("_partition"), F.col("_offset")]
-    both = [key, [*reversed(key), F.lit(104729)]]
-    cur = [F.bit_xor(_mix(k, F.col("current"))) for k in both]
-    old = [F.bit_xor(_mix(k, F.col("saved"))) for k in both]
-    differs = F.col("current").isNotNull() & ~F.col("current").eqNullSafe(F.col("saved"))
-    return states.groupBy(*KEYS, scan.BLOCK, F.shiftright("_offset", leaf_bits).alias("node")).agg(
-        F.struct(cur[0].alias("a"), cur[1].alias("b"), F.count("current").alias("n")).alias("current"),
-        F.struct(old[0].alias("a"), old[1].alias("b"), F.count("saved").alias("n")).alias("saved"),
-        F.collect_list(F.when(differs, F.col("_offset"))).alias("changed"),
-    ).drop(scan.BLOCK)
+    def digest(wanted: Column) -> Column:
+        x = [F.bit_xor(F.when(wanted, h).otherwise(F.lit(0).cast("bigint"))) for h in both]
+        return F.struct(x[0].alias("a"), x[1].alias("b"), F.count(F.when(wanted, 1)).alias("n"))
+
+    return rows.groupBy(*KEYS, F.shiftright("_offset", leaf_bits).alias("node")).agg(digest(F.lit(True)).alias("current"), digest(F.col("seen")).alias("saved"))
 
 
 def parents(nodes: DataFrame, fanout_bits: int = FANOUT_BITS) -> DataFrame:
@@ -146,17 +144,30 @@ def changed_leaves(levels: Sequence[DataFrame], fanout_bits: int = FANOUT_BITS)
     return open_nodes
 
 
-def extract(leaf_nodes: DataFrame, changed: DataFrame) -> DataFrame:
-    """The new and changed records of the changed leaves, each once."""
-    inside = leaf_nodes.join(changed.hint("merge"), [*KEYS, "node"], "left_semi")
-    return inside.select(*KEYS, F.explode("changed").alias("_offset"))
+def within(rows: DataFrame, changed: DataFrame, leaf_bits: int = LEAF_BITS) -> DataFrame:
+    """The rows whose leaf is in changed: (_topic, _partition, node), a stored table.
+
+    Changed leaves are broadcast up to BROADCAST_LEAVES of them, which are
+    counted; beyond that both sides are sorted and merged."""
+    few = changed.count() <= BROADCAST_LEAVES
+    placed = rows.withColumn("node", F.shiftright("_offset", leaf_bits))
+    return placed.join(F.broadcast(changed) if few else changed.hint("merge"), [*KEYS, "node"], "left_semi").drop("node")
+
+
+def differing(rows: DataFrame) -> DataFrame:
+    """(_topic, _partition, _offset) of records without a seen row, or whose newest row differs from the newest seen one."""
+    version = F.struct("f", "a", "b")
+    saved = F.max(F.when(F.col("seen"), version))
+    per = rows.groupBy(*KEYS, "_offset").agg(F.max(version).alias("c"), saved.alias("s"))
+    return per.filter(F.col("s").isNull() | (F.col("c.a") != F.col("s.a")) | (F.col("c.b") != F.col("s.b"))).select(*KEYS, "_offset")
 
 
 def to_process(test_table: DataFrame, run_ledger: DataFrame, columns: Sequence[str] = CONTENT) -> DataFrame:
     """Records new or changed since they were last processed successfully.
 
-    The leaves are written once to the shared folder; descending reads digests
-    only, extracting reads the changed leaves' offsets.  Joins are sort-merge: the
-    sizes of changed sets and of the ledger have no bound that a broadcast needs."""
-    nodes = staged(leaves(record_states(test_table, run_ledger, columns)), "leaves")
-    return extract(nodes, changed_leaves(tree(nodes.drop("changed"))))
+    The table is read and hashed once; digests of rows and leaves are written to
+    the shared folder.  Descending reads leaves only, comparing contents the rows
+    of changed leaves."""
+    rows = staged(row_digests(test_table, run_ledger, columns), "digests")
+    changed = staged(changed_leaves(tree(staged(leaves(rows), "leaves"))), "changed")
+    return differing(within(rows, changed))
