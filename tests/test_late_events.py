@@ -87,3 +87,56 @@ def test_hot_partition_across_many_blocks_equals_brute_force(spark):
         if met is not None and (ts // H + 3) * H <= met:
             want.add(("hot", 0, o))
     assert set(rows(L.after_cutoff(*tables(spark, recs)))) == want
+
+
+def _random_log(seed=3, n=240):
+    import random
+
+    rnd = random.Random(seed)
+    recs, tabs = [], []
+    for p in range(3):
+        clock = 100 * H
+        for o in range(n if p else 2 * n):
+            clock += rnd.randrange(0, H // 3)
+            ts = clock - rnd.choice([0, 0, 0, H // 2, 3 * H, 9 * H]) if rnd.random() > 0.1 else -1
+            recs += [("a" if p < 2 else "b", p, o, ts, rnd.choice([clock, clock, None, -1]))] * rnd.choice([1, 1, 1, 2])
+            if rnd.random() < 0.8:
+                tabs += [(f, "a" if p < 2 else "b", p, o, rnd.choice([clock, None]), clock - H * rnd.randrange(4), str(rnd.randrange(9))) for f in range(rnd.choice([1, 1, 2]))]
+    return recs, tabs
+
+
+def test_closing_panes_judge_as_watermarks_met_do(spark):
+    r, t = tables(spark, *_random_log())
+    want = rows(L.judged(r, t).filter("polled and late").select("topic", "partition", "offset"))
+    assert want and rows(L.after_cutoff(r, t)) == want
+
+
+def test_the_log_in_batches_gives_the_panes_of_the_whole_log(spark, tmp_path):
+    r, t = tables(spark, *_random_log(5))
+    store = PaneStore(spark, str(tmp_path / "panes"), panes_per_window=2)
+    for b in range(5):
+        low, high = b * 100 - (30 if b else 0), (b + 1) * 100  # the end of the last batch is polled again
+        part = r.filter(f"offset >= {low} and offset < {high}"), t.filter(f"_offset >= {low} and _offset < {high}")
+        windows = rows(store.add_records(*part, b))
+        assert windows and rows(store.add_records(*part, b)) == windows  # a replay
+    cols = ["topic", "pane_ms", "records", "loaded", "money_spent", "out_of_order"]
+    assert rows(store.panes().select(*cols)) == rows(L.panes(L.judged(r, t)).select(*cols))
+
+
+def test_only_touched_panes_are_written_and_versions_are_folded(spark, tmp_path, monkeypatch):
+    from tidewell.streaming import stateful
+
+    monkeypatch.setattr(stateful, "MOST_VERSIONS", 3)
+    schema = "topic string, pane_ms bigint, records bigint, loaded bigint, money_spent decimal(38,6), out_of_order bigint"
+    delta = lambda hs: spark.createDataFrame([("a", h * H, 1, 0, Decimal(1), 0) for h in hs], schema)
+    store = PaneStore(spark, str(tmp_path / "panes"))
+    want = {}
+    for b, hours in enumerate([range(9), [4], [2, 4], [20], [4], [0]]):
+        store.add(delta(hours), b)
+        for h in hours:
+            want[h] = want.get(h, 0) + 1
+        assert {r["pane_ms"] // H: r["records"] for r in store.panes().collect()} == want
+        at = store._pointer()
+        if b == 2:
+            assert store._read(at["versions"][-1] + "/panes").count() == 2
+    assert len(at["versions"]) == 3 and [n for n in store.folder.names() if n.startswith("v")] == at["versions"]

@@ -20,7 +20,8 @@ class Folder:
         self._jvm = spark.sparkContext._jvm
         self._conf = spark.sparkContext._jsc.hadoopConfiguration()
         self.path = path.rstrip("/")
-        self._fs = self._p("").getFileSystem(self._conf)
+        # one of its own: the cached one is shared with every writer of the JVM
+        self._fs = self._jvm.org.apache.hadoop.fs.FileSystem.newInstance(self._p("").toUri(), self._conf)
         self._fs.setWriteChecksum(False)
 
     def _p(self, name: str):

@@ -6,6 +6,12 @@ so a late record re-emits only the windows over its pane.  A record is past the
 cut-off when the end of its hour plus the allowed lateness is at or before the
 greatest watermark of any record with a lower offset in its topic partition.
 
+So a pane of a topic partition closes at one offset, the least that carries a
+watermark beyond its end plus the lateness; a record of the pane at a higher
+offset came too late.  closings() finds that offset for all panes, combining
+watermarks by the latest pane they close before anything is shuffled: what
+travels is panes, not records.
+
 Defined results: rows with a null topic, partition or offset are ignored; a
 record polled or stored repeatedly counts once; a record without event time in
 either table is neither late nor counted; null, -1 and other negative
@@ -16,11 +22,11 @@ a record and adds nothing.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.operators import scan
-from tidewell.session import epoch_ms, ms_to_ntz, utc
+from tidewell.session import epoch_ms, lookup, ms_to_ntz, utc
 
 HOUR_MS = 3_600_000
 LATENESS_MS = 2 * HOUR_MS
@@ -48,10 +54,11 @@ def log_points(stream_record: DataFrame, test_table: DataFrame) -> DataFrame:
     return rec.unionByName(tab).filter("topic is not null and partition is not null and offset is not null")
 
 
-def judged(stream_record: DataFrame, test_table: DataFrame, lateness_ms: int = LATENESS_MS, pane_ms: int = HOUR_MS) -> DataFrame:
-    """One row per record: (topic, partition, offset, polled, stored, event_ms, pane_ms, money, met_ms, late).
+def judged(stream_record: DataFrame, test_table: DataFrame, lateness_ms: int = LATENESS_MS, pane_ms: int = HOUR_MS, seeds: DataFrame | None = None) -> DataFrame:
+    """One row per record: (topic, partition, offset, polled, stored, event_ms, pane_ms, money, met_ms, wm_ms, late).
 
-    late is null when the record has no event time."""
+    late is null when the record has no event time.  seeds: (topic, partition,
+    seed_ms), the greatest watermarks of records that came before."""
     points = log_points(stream_record, test_table)
     rows = scan.with_carries(points, KEYS, "offset", "wm_ms")
     per = rows.groupBy(*KEYS, scan.BLOCK, "offset").agg(
@@ -60,18 +67,52 @@ def judged(stream_record: DataFrame, test_table: DataFrame, lateness_ms: int = L
     )
     w = Window.partitionBy(*KEYS, scan.BLOCK).orderBy("offset").rowsBetween(Window.unboundedPreceding, -1)
     per = per.withColumn("met_ms", F.max("wm_ms").over(w)).filter(~F.col("__is_carry"))
+    if seeds is not None:
+        per = per.join(lookup(seeds.select(*KEYS, "seed_ms"), "seeds"), KEYS, "left").withColumn("met_ms", F.greatest("met_ms", "seed_ms")).drop("seed_ms")
     per = per.withColumn("event_ms", F.coalesce("polled_ms", F.col("stored.ms")))
     per = per.withColumn("pane_ms", F.col("event_ms") - F.pmod(F.col("event_ms"), F.lit(pane_ms)))
     late = F.coalesce(F.col("pane_ms") + pane_ms + lateness_ms <= F.col("met_ms"), F.lit(False))
     return per.select(
         *KEYS, "offset", "polled", F.col("stored").isNotNull().alias("loaded"), "event_ms", "pane_ms",
-        F.col("stored.money").alias("money"), "met_ms", F.when(F.col("event_ms").isNotNull(), late).alias("late"),
+        F.col("stored.money").alias("money"), "met_ms", "wm_ms", F.when(F.col("event_ms").isNotNull(), late).alias("late"),
     )
 
 
-def after_cutoff(stream_record: DataFrame, test_table: DataFrame, lateness_ms: int = LATENESS_MS) -> DataFrame:
-    """Polled records that came after the cut-off: (topic, partition, offset)."""
-    return judged(stream_record, test_table, lateness_ms).filter("polled and late").select(*KEYS, "offset")
+def closings(watermarks: DataFrame, events: DataFrame, lateness_ms: int = LATENESS_MS, pane_ms: int = HOUR_MS) -> DataFrame:
+    """(topic, partition, pane, closes_at) of the panes of events that close.
+
+    watermarks: (topic, partition, offset, wm_ms); events: (topic, partition,
+    event_ms).  pane is the number of the pane, closes_at the least offset whose
+    watermark closes it.  There are at most as many rows as hours a partition's
+    events lie in."""
+    latest = F.floor((F.col("wm_ms") - lateness_ms) / pane_ms).cast("bigint") - 1
+    steps = watermarks.filter("wm_ms is not null").groupBy(*KEYS, latest.alias("pane")).agg(F.min("offset").alias("first"))
+    asked = events.filter("event_ms is not null").select(*KEYS, pane_of(pane_ms)).distinct()
+    both = steps.withColumn("asked", F.lit(False)).unionByName(asked.select("*", F.lit(None).cast("bigint").alias("first"), F.lit(True).alias("asked")))
+    # a pane closes with the first of the steps at or above it
+    w = Window.partitionBy(*KEYS).orderBy(F.col("pane").desc()).rangeBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("closes_at", F.min("first").over(w)).filter("asked and closes_at is not null").select(*KEYS, "pane", "closes_at")
+
+
+def pane_of(pane_ms: int = HOUR_MS) -> Column:
+    return F.floor(F.col("event_ms") / pane_ms).cast("bigint").alias("pane")
+
+
+def after_cutoff(stream_record: DataFrame, test_table: DataFrame, lateness_ms: int = LATENESS_MS, pane_ms: int = HOUR_MS) -> DataFrame:
+    """Polled records that came after the cut-off: (topic, partition, offset).
+
+    Each record goes to its pane, and is late if that closed at a lower offset.
+    Only records polled without a time are looked up in test_table by offset."""
+    points = log_points(stream_record, test_table)
+    polled = points.filter("polled")
+    untimed = polled.filter("polled_ms is null").select(*KEYS, "offset").distinct()
+    stored = points.filter("not polled").select(*KEYS, "offset", "stored").join(untimed.hint("merge"), [*KEYS, "offset"], "left_semi")
+    found = stored.groupBy(*KEYS, "offset").agg(F.max("stored")["ms"].alias("event_ms"))
+    timed = polled.filter("polled_ms is not null").select(*KEYS, "offset", F.col("polled_ms").alias("event_ms"))
+    events = timed.unionByName(found).filter("event_ms is not null")
+    panes_closed = lookup(closings(points, events, lateness_ms, pane_ms), "closings")
+    late = events.withColumn("pane", pane_of(pane_ms)).join(panes_closed, [*KEYS, "pane"]).filter(F.col("offset") > F.col("closes_at"))
+    return late.select(*KEYS, "offset").distinct()
 
 
 def panes(judged_rows: DataFrame) -> DataFrame:

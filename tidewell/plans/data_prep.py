@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.operators import changes, heavy_keys, intervals, late_events, small_files
-from tidewell.session import load
+from tidewell.session import load, ms_to_ntz, scratch, staged
+from tidewell.streaming.stateful import PaneStore
 
 ENTITY = ["_consumer_group", "_topic", "_partition"]
 RECORD = ["_topic", "_partition"]
@@ -20,6 +21,24 @@ def p1_hourly(spark: SparkSession, d: str) -> DataFrame:
     return late_events.hourly(load(spark, d, "stream_record"), load(spark, d, "test_table"))
 
 
+#: Micro-batches in which p1_batches replays the log, and the share of one that is polled again with the next.
+BATCHES = 4
+AGAIN = 4
+
+
+def p1_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The panes of p1_hourly, from the log in micro-batches: by offset, each polling the
+    end of the one before again; late records correct panes that were emitted before."""
+    rec, tab = load(spark, d, "stream_record"), load(spark, d, "test_table")
+    width = (rec.select(F.col("offset").alias("o")).unionByName(tab.select(F.col("_offset").alias("o"))).agg(F.max("o")).first()[0] or 0) // BATCHES + 1
+    with scratch(spark, "panes") as path:
+        store = PaneStore(spark, path, panes_per_window=1)
+        for b in range(BATCHES):
+            inside = lambda c, b=b: (F.col(c) >= b * width - (width // AGAIN if b else 0)) & (F.col(c) < (b + 1) * width)
+            store.add_records(rec.filter(inside("offset")), tab.filter(inside("_offset")), b)
+        return staged(store.panes().select("topic", ms_to_ntz(F.col("pane_ms")).alias("hour"), "records", "loaded", "money_spent", "out_of_order"), "panes")
+
+
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return intervals.gaps(load(spark, d, "file_offsets"), ENTITY, "_start_offset", "_end_offset")
 
@@ -65,7 +84,7 @@ def p5_concatenated(spark: SparkSession, d: str) -> DataFrame:
     return small_files.concat_frames(small_files.frames(lines), moves).select("directory", "target", "files", "rows")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_hourly, p2_found, p2_periods, p3_found, p4_found, p4_totals, p5_found, p5_plan, p5_regrouped, p5_concatenated)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_hourly, p1_batches, p2_found, p2_periods, p3_found, p4_found, p4_totals, p5_found, p5_plan, p5_regrouped, p5_concatenated)}
 
 _P1 = """
 WITH pts AS (
@@ -107,12 +126,15 @@ prev AS (
   SELECT *, MAX(e) OVER (PARTITION BY _consumer_group, _topic, _partition ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ok)
 """
 
-SQL = {
-    "p1_found": _P1 + 'SELECT topic, "partition", "offset" FROM judged WHERE polled AND late',
-    "p1_hourly": _P1 + """
+_HOURLY = _P1 + """
 SELECT topic, make_timestamp(pane_ms * 1000) AS hour, COUNT(*) AS records, CAST(SUM(loaded::INT) AS BIGINT) AS loaded,
        CAST(COALESCE(SUM(s.money), 0) AS DECIMAL(38,6)) AS money_spent, CAST(COALESCE(SUM((met_ms > event_ms)::INT), 0) AS BIGINT) AS out_of_order
-FROM judged WHERE NOT late GROUP BY topic, pane_ms""",
+FROM judged WHERE NOT late GROUP BY topic, pane_ms"""
+
+SQL = {
+    "p1_found": _P1 + 'SELECT topic, "partition", "offset" FROM judged WHERE polled AND late',
+    "p1_hourly": _HOURLY,
+    "p1_batches": _HOURLY,
     "p2_found": _COVER + "SELECT _consumer_group, _topic, _partition, p + 1 AS gap_start, s - 1 AS gap_end FROM prev WHERE s > p + 1",
     "p2_periods": _COVER + """, isl AS (
   SELECT *, SUM(CASE WHEN p IS NULL OR s > p + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY _consumer_group, _topic, _partition ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS i FROM prev)

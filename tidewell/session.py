@@ -6,6 +6,8 @@ import atexit
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,6 +58,30 @@ def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
     return df
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
+    """While it holds, Arrow batches to Python have at most so many rows, for long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    if not 0 < int(before) <= rows:
+        spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+#: Rows of a lookup table that may be broadcast, of at most some hundred bytes each.
+LOOKUP_ROWS = 100_000
+
+
+def lookup(df: DataFrame, label: str = "lookup", most: int = LOOKUP_ROWS) -> DataFrame:
+    """df, written once and counted, to be joined to a large table: broadcast up
+    to so many rows, merged beyond."""
+    kept = staged(df, label)
+    return F.broadcast(kept) if kept.count() <= most else kept.hint("merge")
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """Write to the shared folder as zstd parquet and read it back.
 
@@ -69,6 +95,17 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession, label: str) -> Iterator[str]:
+    """A folder of its own in the shared folder, deleted afterwards: stage what is to outlive it."""
+    path = f"{shared_dir(spark)}/scratch/{label}-{uuid.uuid4().hex}"
+    try:
+        yield path
+    finally:
+        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 _written: list[tuple[SparkSession, str]] = []
 
 
