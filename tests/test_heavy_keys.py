@@ -38,10 +38,11 @@ def test_sums_beyond_64_bits(spark):
     assert rows(totals(spark, [("a", 0, o, 1, -big) for o in range(40)]))[0][-1] == -big * 40
 
 
-def test_a_large_dictionary_is_joined_by_salted_shuffle(spark, monkeypatch):
+def test_of_a_large_dictionary_the_heaviest_keys_are_broadcast_alone(spark, monkeypatch):
     monkeypatch.setattr(H, "BROADCAST_KEYS", 0)
+    monkeypatch.setattr(H, "HEAVIEST", 10)
     monkeypatch.setattr(H, "OPEN_BLOCKS", 1)
-    data = [(f"k{i % 50}", i % 3, i, 1, Decimal(i)) for i in range(500)]
+    data = [(f"k{i % 50}", i % 3, i, 1, Decimal(i)) for i in range(500)] + [("hot", 0, i, 1, Decimal(i)) for i in range(300)]
     assert rows(totals(spark, data)) == brute(data)
 
 

@@ -1,3 +1,4 @@
+import hashlib
 import io
 import zlib
 from datetime import datetime
@@ -87,9 +88,40 @@ def test_files_are_joined_on_disk_and_again_on_retry(spark, tmp_path):
     assert sorted(p.name for p in (out / "d").iterdir()) == ["part-000000", "part-000001"]
 
 
+def test_recorded_lengths_and_checksums_of_parts_are_compared(spark, tmp_path):
+    src, out = tmp_path / "src", tmp_path / "out"
+    src.mkdir()
+    blobs = {f"f{i}": zstandard.ZstdCompressor().compress(b"line %d\n" % i * 50) for i in range(3)}
+    for n, b in blobs.items():
+        (src / n).write_bytes(b)
+    moves = lambda crc: spark.createDataFrame([("d", 0, n, i, len(b), zlib.crc32(b) + (crc if i == 1 else 0)) for i, (n, b) in enumerate(blobs.items())], "directory string, target bigint, path string, place bigint, bytes bigint, crc bigint")
+    joined = S.concat_files(moves(0), f"file://{src}", f"file://{out}", "zstd")
+    got = S.contents(joined).first()
+    assert (got["files"], got["lines"]) == (3, 150) and got["content"] == hashlib.md5(b"".join(b"line %d\n" % i * 50 for i in range(3))).hexdigest()
+    with pytest.raises(Exception, match="not what was recorded"):
+        S.concat_files(moves(1), f"file://{src}", f"file://{out}", "zstd").collect()
+    (src / "f2").write_bytes(blobs["f2"][:-2])
+    with pytest.raises(Exception, match="cut short"):
+        S.concat_files(moves(0).drop("bytes", "crc"), f"file://{src}", f"file://{out}", "zstd").collect()
+    assert sorted(p.name for p in (out / "d").iterdir()) == ["part-000000"]
+
+
+@given(st.lists(st.binary(max_size=300), min_size=1, max_size=4), st.booleans(), st.integers(1, 40))
+def test_frames_cut_short_are_refused(parts, checksum, lost):
+    c = zstandard.ZstdCompressor(write_content_size=lost % 2 == 0, write_checksum=checksum)
+    whole = b"".join(c.compress(p) for p in parts)
+    assert S.whole_frames(whole) == len(parts)
+    ends = {len(b"".join(c.compress(p) for p in parts[:n])) for n in range(len(parts) + 1)}
+    cut = max(0, len(whole) - lost)
+    if cut in ends:
+        S.whole_frames(whole[:cut])
+    else:
+        with pytest.raises(ValueError):
+            S.whole_frames(whole[:cut])
+
+
 def test_rows_as_frames(spark):
     lines = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, "ü")], "_file_id bigint, place int, line string")
-    moves = spark.createDataFrame([(1, "d", 0), (2, "d", 0)], "_file_id bigint, directory string, target bigint")
-    r = S.concat_frames(S.frames(lines), moves).first()
-    text = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(bytes(r["content"])), read_across_frames=True).read().decode()
-    assert text == "a\nb\nü\n" and (r["files"], r["rows"]) == (2, 3)
+    got = {r["_file_id"]: r for r in S.frames(lines).collect()}
+    plain = zstandard.ZstdDecompressor().decompress(bytes(got[1]["frame"])).decode()
+    assert plain == "a\nb\n" and (got[1]["rows"], got[2]["plain_bytes"]) == (2, 3)

@@ -1,9 +1,10 @@
 """Per-key results when a few keys hold most records.
 
-Method: keys are dictionary-encoded into dense codes; every input split keeps
-dense accumulator arrays (numpy bincount and scatter-reduce), however its keys
-are mixed; the arrays' blocks are summed by a distributed reduction.  No task's
-work depends on how many rows one key has.
+Method: copies of a record are folded once and written to the shared folder;
+keys are dictionary-encoded into dense codes; every split of what was written,
+of equal size, keeps dense accumulator arrays (numpy bincount and
+scatter-reduce), however its keys are mixed; the arrays' blocks are summed by a
+distributed reduction.  No task's work depends on how many rows one key has.
 
 Defined results: rows with a null key part or null order column are ignored;
 repeated rows of a record (key, order) count once in records, the version with
@@ -17,34 +18,39 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewell.operators import scan
+from tidewell.session import staged
+
 #: Codes per accumulator block.
 BLOCK_SIZE = 4096
-#: A dictionary of at most this many keys (about 40 MB) is broadcast, a larger one joined by salted shuffle.
+#: A dictionary of at most this many keys (about 40 MB, counted first) is broadcast whole, of a larger one its heaviest keys.
 BROADCAST_KEYS = 500_000
+#: Keys with at least one in so many records are heavy, so there are at most as many of them.
+HEAVIEST = 1000
 #: Open accumulator blocks per task (about 160 kB each) before they are flushed.
 OPEN_BLOCKS = 512
-BUCKETS = 512
-SALTS = 16
 
 
-def dictionary(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """(keys…, code): dense codes from 0, ranked within hash buckets, so that no task sees all keys."""
-    distinct = rows.groupBy(*keys).agg(F.lit(1).alias("__one")).withColumn("__b", F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)))
-    ranked = distinct.withColumn("__r", F.row_number().over(Window.partitionBy("__b").orderBy(*keys)) - 1)
-    sizes = distinct.groupBy("__b").agg(F.count(F.lit(1)).alias("__n"))  # at most BUCKETS rows
-    starts = sizes.withColumn("__start", F.coalesce(F.sum("__n").over(Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return ranked.join(starts.select("__b", "__start"), "__b").select(*keys, (F.col("__start") + F.col("__r")).cast("bigint").alias("code"))
+def dictionary(records: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys…, n, code): rows of each key and dense codes from 0 in key order, ranked by ranges, so that no task sees all keys."""
+    counted = records.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    return scan.running_count(counted, [], keys, "code").select(*keys, "n", F.col("code").cast("bigint"))
 
 
-def encode(rows: DataFrame, codes: DataFrame, keys: Sequence[str], n_keys: int, order: str) -> DataFrame:
-    """Adds code.  The dictionary is broadcast only up to BROADCAST_KEYS keys."""
-    if n_keys <= BROADCAST_KEYS:
-        return rows.join(F.broadcast(codes), list(keys))
-    salted = codes.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("__salt", F.pmod(F.xxhash64(order), F.lit(SALTS)).cast("int")).join(salted, [*keys, "__salt"]).drop("__salt")
+def encode(records: DataFrame, codes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds code.  A dictionary beyond BROADCAST_KEYS is joined by shuffle, but for
+    its heaviest keys, which are few by definition."""
+    total = codes.agg(F.count(F.lit(1)).alias("keys"), F.sum("n").alias("n")).first()
+    names = codes.drop("n")
+    if total["keys"] <= BROADCAST_KEYS:
+        return records.join(F.broadcast(names), list(keys))
+    heavy = codes.filter(F.col("n") >= F.lit(max(1, -(-total["n"] // HEAVIEST)))).drop("n")
+    first = records.join(F.broadcast(heavy), list(keys))
+    rest = records.join(F.broadcast(heavy.drop("code")), list(keys), "left_anti").join(names.hint("merge"), list(keys))
+    return first.unionByName(rest)
 
 
 _SCHEMA = "block bigint, records array<bigint>, stored array<bigint>, newest array<bigint>, hi array<bigint>, lo array<bigint>"
@@ -93,12 +99,11 @@ def key_totals(rows: DataFrame, keys: Sequence[str], order: str, version: str, v
     keys = list(keys)
     usable = rows.dropna(subset=[*keys, order])
     unscaled = (F.col(value) * F.lit(10**scale)).cast("decimal(38,0)").cast("bigint")
-    per_record = usable.groupBy(*keys, order).agg(
-        F.count(F.lit(1)).alias("__stored"), F.max(F.struct(F.col(version), unscaled.alias("v")))["v"].alias("__value")
-    )
-    codes = dictionary(usable, keys)
-    n_keys = usable.select(*keys).agg(F.approx_count_distinct(F.struct(*keys), 0.02)).first()[0]
-    coded = encode(per_record, codes, keys, n_keys, order).select("code", F.col(order).cast("bigint").alias("o"), "__stored", "__value")
+    version = F.max(F.struct(F.col(version), unscaled.alias("v")))["v"]
+    per_record = usable.groupBy(*keys, F.col(order).cast("bigint").alias("__order")).agg(F.count(F.lit(1)).alias("__stored"), version.alias("__value"))
+    records = staged(per_record, "records")
+    codes = staged(dictionary(records, keys), "codes")
+    coded = encode(records, codes, keys).select("code", "__order", "__stored", "__value")
     arrays = coded.mapInArrow(_accumulate, _SCHEMA)
     zipped = arrays.select("block", F.posexplode(F.arrays_zip("records", "stored", "newest", "hi", "lo")).alias("at", "x")).filter("x.records > 0")
     sums = zipped.groupBy((F.col("block") * BLOCK_SIZE + F.col("at")).alias("code")).agg(
@@ -107,11 +112,11 @@ def key_totals(rows: DataFrame, keys: Sequence[str], order: str, version: str, v
     )
     micro = F.col("hi") * F.lit(2**32).cast("decimal(11,0)") + F.col("lo")
     total = (micro.cast("decimal(32,0)") * F.lit(10**-scale).cast(f"decimal({scale + 1},{scale})")).cast("decimal(38,6)")
-    return sums.join(codes, "code").select(*keys, "records", "stored", "newest", total.alias("total"))
+    return codes.drop("n").join(sums, "code").select(*keys, "records", "stored", "newest", total.alias("total"))
 
 
 def heavy_keys(totals: DataFrame, keys: Sequence[str], share: float = 0.04) -> DataFrame:
     """Keys with at least share of all records; at most 1/share rows."""
-    everything = totals.agg(F.sum("records").alias("__all"))
-    at_least = F.col("__all") * F.lit(round(share * 10_000)) / 10_000
-    return totals.join(F.broadcast(everything), F.col("records") >= at_least).select(*keys)
+    kept = staged(totals.select(*keys, "records"), "totals")
+    everything = kept.agg(F.sum("records")).first()[0] or 0
+    return kept.filter(F.col("records") * 10_000 >= F.lit(everything * round(share * 10_000))).select(*keys)

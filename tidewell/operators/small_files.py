@@ -3,8 +3,10 @@
 Method: byte-level concatenation.  Newline-delimited files are joined with a
 line break where a file lacks its last one and with repeated headers dropped;
 complete zstandard frames are joined as they are, since a sequence of frames
-decompresses to the sequence of contents.  Nothing is parsed; lengths and
-checksums of every part are checked against the result.
+decompresses to the sequence of contents.  Nothing is parsed or decompressed
+but where a checksum of the content is asked for: frames are walked by their
+block headers, so one cut short is refused; lengths and checksums recorded of a
+part are compared with what is read, and the file written with what was joined.
 
 Defined results: a file's size is that of its last report that gives one, its
 record count that of its last report; a file without a size is left alone; of
@@ -16,8 +18,10 @@ rows.
 
 from __future__ import annotations
 
+import hashlib
 import io
 import os
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -26,9 +30,10 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.session import lookup
+
 SMALL_BYTES = 16_384
 AIM_BYTES = 262_144
-SALTS = 8
 _BITS = 12
 
 
@@ -44,10 +49,8 @@ def latest_reports(file_stats: DataFrame) -> DataFrame:
 def to_merge(file_stats: DataFrame, small: int = SMALL_BYTES) -> DataFrame:
     """(_file_id, directory, size, records): small files that have a small neighbour."""
     files = latest_reports(file_stats).filter((F.col("size") < small) & (F.col("records") > 0))
-    files = files.withColumn("__salt", F.pmod(F.xxhash64("_file_id"), F.lit(SALTS)).cast("int"))
-    crowded = files.groupBy("directory").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    spread = crowded.select("directory", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("__salt"))
-    return files.join(spread, ["directory", "__salt"], "left_semi").select("_file_id", "directory", "size", "records")
+    crowded = files.groupBy("directory").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("directory")
+    return files.join(lookup(crowded, "crowded"), "directory", "left_semi").select("_file_id", "directory", "size", "records")
 
 
 def plan(file_stats: DataFrame, aim: int = AIM_BYTES, small: int = SMALL_BYTES) -> DataFrame:
@@ -74,7 +77,7 @@ def plan(file_stats: DataFrame, aim: int = AIM_BYTES, small: int = SMALL_BYTES)
 
 def regroup(test_table: DataFrame, file_stats: DataFrame, aim: int = AIM_BYTES) -> DataFrame:
     """Every row of test_table once, with directory and target of its file (null: not merged)."""
-    moves = plan(file_stats, aim).select(F.col("_file_id").alias("__f"), "directory", "target")
+    moves = lookup(plan(file_stats, aim).select(F.col("_file_id").alias("__f"), "directory", "target"), "moves")
     rows = test_table.drop("__f", "directory", "target")
     filed = rows.filter("_file_id is not null").join(moves, F.col("_file_id") == F.col("__f"), "left").drop("__f")
     # rows without a file, however many, stay where they are: as join keys their nulls would all meet in one task
@@ -103,88 +106,153 @@ def frames(lines: DataFrame) -> DataFrame:
     return text.mapInArrow(run, _FRAMES)
 
 
-def concat_frames(parts: DataFrame, moves: DataFrame) -> DataFrame:
-    """(directory, target, files, rows, bytes, content): frames of a target joined
-    in order of file id, checked.  A target holds about AIM_BYTES by its plan."""
-    joined = parts.join(moves.select("_file_id", "directory", "target"), "_file_id").groupBy("directory", "target").agg(
-        F.sort_array(F.collect_list(F.struct("_file_id", "frame", "rows", "plain_bytes", "crc"))).alias("p")
-    )
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = [join_bytes([p["frame"] for p in parts], "zstd", [(p["plain_bytes"], p["crc"]) for p in parts]) for parts in b.column(2).to_pylist()]
-            rows = [sum(p["rows"] for p in parts) for parts in b.column(2).to_pylist()]
-            files = [len(parts) for parts in b.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(files, pa.int64()), pa.array(rows, pa.int64()), pa.array([len(x) for x in out], pa.int64()), pa.array(out, pa.binary())],
-                ["directory", "target", "files", "rows", "bytes", "content"],
-            )
-
-    return joined.mapInArrow(run, "directory string, target bigint, files bigint, rows bigint, bytes bigint, content binary")
-
-
-def join_bytes(parts: list[bytes], kind: str, plain: list[tuple[int, int]] | None = None, header_lines: int = 0) -> bytes:
+def whole_frames(part: bytes) -> int:
+    """How many zstandard frames a part consists of; raises unless it ends with a whole one.
+
+    Reads headers only: frame header, block headers, the flag of the checksum."""
+    at, n = 0, 0
+
+    def need(k: int) -> int:
+        if at + k > len(part):
+            raise ValueError("a zstandard frame is cut short")
+        return at + k
+
+    while at < len(part):
+        magic = part[at : need(4)]
+        at += 4
+        if 0x184D2A50 <= int.from_bytes(magic, "little") <= 0x184D2A5F:  # skippable
+            size = int.from_bytes(part[at : need(4)], "little")
+            at += 4
+            at = need(size)
+            continue
+        if magic != b"\x28\xb5\x2f\xfd":
+            raise ValueError("not a zstandard frame")
+        need(1)
+        flags = part[at]
+        single = flags >> 5 & 1
+        at = need(1 + (0 if single else 1) + (0, 1, 2, 4)[flags & 3] + ((1 if single else 0), 2, 4, 8)[flags >> 6])
+        last = False
+        while not last:
+            head = int.from_bytes(part[at : need(3)], "little")
+            last, kind, size = bool(head & 1), head >> 1 & 3, head >> 3
+            at += 3
+            if kind == 3:
+                raise ValueError("a block of reserved type")
+            at = need(1 if kind == 1 else size)
+        if flags & 4:
+            at = need(4)
+        n += 1
+    return n
+
+
+def join_bytes(parts: list[bytes], kind: str, plain: list[tuple[int, int]] | None = None, header_lines: int = 0, recorded: list[tuple[int | None, int | None]] | None = None) -> bytes:
     """parts as one file.  kind: lines (newline-delimited, header_lines of which
     stand in every part) or zstd (each part whole frames).
 
-    plain: length and crc32 of each part's decompressed content; a difference raises."""
+    recorded: length and crc32 of each part's bytes as known beforehand, None if
+    not; plain: those of each part's decompressed content.  A difference raises."""
+    for part, (size, crc) in zip(parts, recorded or [(None, None)] * len(parts), strict=True):
+        if (size is not None and len(part) != size) or (crc is not None and zlib.crc32(part) != crc):
+            raise ValueError("a part is not what was recorded of it")
     if kind == "zstd":
+        for part in parts:
+            whole_frames(part)
         if plain is not None:
             for part, (size, crc) in zip(parts, plain, strict=True):
                 content = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(part), read_across_frames=True).read()
                 if len(content) != size or zlib.crc32(content) != crc:
                     raise ValueError("a part does not hold the content it was planned with")
-        out = b"".join(parts)
-    elif kind == "lines":
-        kept = []
-        header = None
-        for part in parts:
-            head, body = b"", part
-            for _ in range(header_lines):
-                line, sep, body = body.partition(b"\n")
-                head += line + (sep or b"\n")
-            if header_lines and head.strip() and header is None:
-                header = head
-                kept.append(head)
-            elif header_lines and head.strip() and head != header:
-                raise ValueError("parts have different headers")
-            kept.append(body if not body or body.endswith(b"\n") else body + b"\n")
-        out = b"".join(kept)
-        if len(out) != sum(map(len, kept)):
-            raise ValueError("length")
-    else:
+        return b"".join(parts)
+    if kind != "lines":
         raise ValueError(f"unknown kind {kind!r}")
-    return out
+    out = bytearray()
+    header = None
+    spared = added = 0  # bytes of headers left out, of line breaks put in
+    for part in parts:
+        body = part
+        if header_lines:
+            ends = [i + 1 for i, c in zip(range(len(part)), part) if c == 10][:header_lines]
+            cut = ends[-1] if len(ends) == header_lines else len(part)
+            head, body = part[:cut], part[cut:]
+            if head.strip():
+                whole = head if head.endswith(b"\n") else head + b"\n"
+                if header is None:
+                    header = whole
+                    added += len(whole) - len(head)
+                    out += whole
+                elif whole != header:
+                    raise ValueError("parts have different headers")
+                else:
+                    spared += len(head)
+            else:
+                spared += len(head)
+        out += body
+        if body and not body.endswith(b"\n"):
+            out += b"\n"
+            added += 1
+    if len(out) != sum(map(len, parts)) - spared + added:
+        raise ValueError("the joined file has not the length of its parts")
+    return bytes(out)
+
+
+def _at(base: str):
+    """File system and path of a URI or local path, in any process."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(base) if "://" in base else (fs.LocalFileSystem(), base) if not base.startswith("file:") else (fs.LocalFileSystem(), base.removeprefix("file:"))
+
+
+def write_once(base: str, name: str, content: bytes) -> str:
+    """Writes base/name under a temporary name, reads it back, compares, and renames;
+    a retried or concurrent task replaces the same content."""
+    files, root = _at(base)
+    final = f"{root.rstrip('/')}/{name}"
+    files.create_dir(os.path.dirname(final), recursive=True)
+    temporary = f"{os.path.dirname(final)}/.{os.path.basename(final)}.{uuid.uuid4().hex}.tmp"
+    with files.open_output_stream(temporary, compression=None) as f:
+        f.write(content)
+    with files.open_input_stream(temporary, compression=None) as f:
+        back = f.read()
+    if len(back) != len(content) or zlib.crc32(back) != zlib.crc32(content):
+        raise OSError(f"{final}: what was written differs")
+    files.move(temporary, final)
+    return final
+
+
+def write_files(contents: DataFrame, base: str) -> DataFrame:
+    """contents: (name, content).  Writes each as a file below base; returns (name, bytes, crc)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            blobs = b.column(1).to_pylist()
+            for name, blob in zip(b.column(0).to_pylist(), blobs, strict=True):
+                write_once(base, name, blob)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in blobs], pa.int64()), pa.array([zlib.crc32(x) for x in blobs], pa.int64())], ["name", "bytes", "crc"])
+
+    return contents.select("name", "content").mapInArrow(run, "name string, bytes bigint, crc bigint")
 
 
 def concat_files(moves: DataFrame, source: str, destination: str, kind: str, header_lines: int = 0) -> DataFrame:
-    """Joins files on a shared file system.  moves: (directory, target, path, place).
+    """Joins files on any file system that pyarrow knows.  moves: (directory, target,
+    path, place), optionally bytes and crc, which the part read must have.
 
-    Each target is written under a temporary name, synced and renamed, so a
-    retried task replaces its own work; returns (directory, target, path, files, bytes, crc)."""
-    grouped = moves.groupBy("directory", "target").agg(F.sort_array(F.collect_list(F.struct("place", "path"))).alias("p"))
+    A target's parts are read where it is written; returns (directory, target,
+    path, files, bytes, crc).  A target is bounded by its plan."""
+    known = [c if c in moves.columns else F.lit(None).cast("bigint").alias(c) for c in ("bytes", "crc")]
+    parts = moves.select("directory", "target", "place", "path", *known)
+    grouped = parts.groupBy("directory", "target").agg(F.sort_array(F.collect_list(F.struct("place", "path", "bytes", "crc"))).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, root = _at(source)
         for b in batches:
             rows = []
             for directory, target, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
                 blobs = []
                 for p in parts:
-                    with open(os.path.join(source, p["path"]), "rb") as f:
+                    with files.open_input_stream(f"{root.rstrip('/')}/{p['path']}", compression=None) as f:
                         blobs.append(f.read())
-                whole = join_bytes(blobs, kind, header_lines=header_lines)
-                folder = os.path.join(destination, directory)
-                os.makedirs(folder, exist_ok=True)
-                final = os.path.join(folder, f"part-{target:06d}")
-                temporary = f"{final}.{os.getpid()}.tmp"
-                with open(temporary, "wb") as f:
-                    f.write(whole)
-                    f.flush()
-                    os.fsync(f.fileno())
-                with open(temporary, "rb") as f:
-                    if zlib.crc32(f.read()) != zlib.crc32(whole):
-                        raise OSError(f"{final}: what was written differs")
-                os.replace(temporary, final)
+                whole = join_bytes(blobs, kind, header_lines=header_lines, recorded=[(p["bytes"], p["crc"]) for p in parts])
+                final = write_once(destination, f"{directory}/part-{target:06d}", whole)
                 rows.append((directory, target, final, len(blobs), len(whole), zlib.crc32(whole)))
             cols = list(zip(*rows, strict=True)) or [[]] * 6
             yield pa.RecordBatch.from_arrays(
@@ -193,3 +261,20 @@ def concat_files(moves: DataFrame, source: str, destination: str, kind: str, hea
             )
 
     return grouped.mapInArrow(run, "directory string, target bigint, path string, files bigint, bytes bigint, crc bigint")
+
+
+def contents(joined: DataFrame) -> DataFrame:
+    """joined, as concat_files returns it, with lines and md5 of what each file holds, read back and decompressed."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines, digests = [], []
+            for path in b.column(2).to_pylist():
+                files, at = _at(path)
+                with files.open_input_stream(at, compression=None) as f:
+                    plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(f.read()), read_across_frames=True).read()
+                lines.append(plain.count(b"\n"))
+                digests.append(hashlib.md5(plain).hexdigest())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(3), pa.array(lines, pa.int64()), pa.array(digests, pa.string())], ["directory", "target", "files", "lines", "content"])
+
+    return joined.mapInArrow(run, "directory string, target bigint, files bigint, lines bigint, content string")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewell.encode import csv
+from tidewell.model import struct
 from tidewell.operators import changes, heavy_keys, intervals, late_events, small_files
-from tidewell.session import load, ms_to_ntz, scratch, staged
+from tidewell.session import load, lookup, ms_to_ntz, scratch, staged
 from tidewell.streaming.stateful import PaneStore
 
 ENTITY = ["_consumer_group", "_topic", "_partition"]
@@ -64,7 +66,8 @@ def _totals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    return small_files.to_merge(load(spark, d, "file_stats")).select("_file_id")
+    """The parts of the plan by which bytes are joined."""
+    return small_files.plan(load(spark, d, "file_stats")).select("_file_id")
 
 
 def p5_plan(spark: SparkSession, d: str) -> DataFrame:
@@ -72,16 +75,27 @@ def p5_plan(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_regrouped(spark: SparkSession, d: str) -> DataFrame:
-    return small_files.regroup(load(spark, d, "test_table"), load(spark, d, "file_stats")).select("_file_id", "_topic", "_partition", "_offset", "id", "directory", "target")
+    return small_files.regroup(load(spark, d, "test_table"), load(spark, d, "file_stats")).withColumn("child_ids", F.array_join("child_ids", ";")).withColumn("width", F.col("width").cast("double"))
+
+
+_LINE = struct("_topic string, _partition int, _offset bigint, id int, name string, timestamp timestamp_ntz, is_enabled boolean, child_ids array<int>, parent_id bigint, transaction_id string, money_spent decimal(18,6)")
 
 
 def p5_concatenated(spark: SparkSession, d: str) -> DataFrame:
-    """The rows of merged files as zstandard frames, joined byte by byte; what came out, per target."""
+    """Small files of compressed lines, joined by their bytes; what the joined files hold when read back.
+
+    The test tables have the files' rows only, so the files are written first,
+    one zstandard frame each; joining reads and writes bytes."""
     t = load(spark, d, "test_table")
-    moves = small_files.plan(load(spark, d, "file_stats"))
-    lines = t.filter("_file_id is not null").select("_file_id", F.struct("_topic", "_partition", "_offset", "id").alias("place"), F.to_json(F.struct(*t.columns)).alias("line"))
-    lines = lines.join(moves.select("_file_id"), "_file_id", "left_semi")
-    return small_files.concat_frames(small_files.frames(lines), moves).select("directory", "target", "files", "rows")
+    moves = staged(small_files.plan(load(spark, d, "file_stats")), "moves")
+    lines = t.join(lookup(moves.select("_file_id"), "small"), "_file_id", "left_semi").select("_file_id", csv.line(_LINE).alias("line")).withColumn("place", F.col("line"))
+    with scratch(spark, "small_files") as path:
+        frames = small_files.frames(lines).select(F.format_string("f%d.zst", "_file_id").alias("name"), F.col("frame").alias("content"))
+        written = staged(small_files.write_files(frames, f"{path}/small"), "written")
+        parts = moves.withColumn("path", F.format_string("f%d.zst", "_file_id")).join(written.withColumnRenamed("name", "path"), "path")
+        parts = parts.select("directory", "target", "path", F.col("_file_id").alias("place"), "bytes", "crc")
+        joined = staged(small_files.concat_files(parts, f"{path}/small", f"{path}/joined", "zstd"), "joined")
+        return staged(small_files.contents(joined), "contents")
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p1_hourly, p1_batches, p2_found, p2_periods, p3_found, p4_found, p4_totals, p5_found, p5_plan, p5_regrouped, p5_concatenated)}
@@ -167,7 +181,10 @@ SELECT _topic, _partition, COUNT(*) AS records, CAST(SUM(stored) AS BIGINT) AS s
 FROM r GROUP BY 1, 2""",
     "p5_found": _LATEST + "SELECT _file_id FROM small WHERE n > 1",
     "p5_plan": _LATEST + "SELECT directory, target, _file_id, size, records, begins FROM plan",
-    "p5_regrouped": _LATEST + "SELECT t._file_id, t._topic, t._partition, t._offset, t.id, plan.directory, plan.target FROM test_table t LEFT JOIN plan USING (_file_id)",
-    "p5_concatenated": _LATEST + """
-SELECT directory, target, COUNT(DISTINCT _file_id) AS files, COUNT(*) AS "rows" FROM test_table JOIN plan USING (_file_id) GROUP BY directory, target""",
+    "p5_regrouped": _LATEST + "SELECT t.* REPLACE (array_to_string(t.child_ids, ';') AS child_ids, CAST(t.width AS DOUBLE) AS width), plan.directory, plan.target FROM test_table t LEFT JOIN plan USING (_file_id)",
+    "p5_concatenated": _LATEST + """, lines AS (
+  SELECT plan.directory, plan.target, _file_id, concat_ws(chr(9), COALESCE(_topic, ''), COALESCE(_partition::VARCHAR, ''), COALESCE(_offset::VARCHAR, ''), COALESCE(id::VARCHAR, ''), COALESCE(name, ''),
+    COALESCE(strftime(make_timestamp(epoch_us("timestamp") // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%g'), ''), COALESCE(is_enabled::VARCHAR, ''), COALESCE(array_to_string(child_ids, ';'), ''), COALESCE(parent_id::VARCHAR, ''), COALESCE(transaction_id, ''),
+    COALESCE(money_spent::VARCHAR, '')) || chr(10) AS line FROM test_table JOIN plan USING (_file_id))
+SELECT directory, target, COUNT(DISTINCT _file_id) AS files, COUNT(*) AS lines, md5(string_agg(line, '' ORDER BY _file_id, line)) AS content FROM lines GROUP BY directory, target""",
 }
