@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.cells import cell_lists, steps
-from tidewell.session import bounded_batches, staged
+from tidewell.session import small_batches, staged
 
 RUN = 12
 PASSAGE = 2 * RUN
@@ -459,7 +459,8 @@ def _items(items: DataFrame, item: str = "item_id", text: str = "text") -> Items
 
 def _searched(documents: DataFrame, items: Items, wanted=holds_run, around: int = 0) -> tuple[DataFrame, Iterator[Search]]:
     """Passages that may matter, and the parts of the items in the latent space, one by one."""
-    read = staged(bounded_batches(documents).select("doc_id", "text", "cells").mapInArrow(_read(items, wanted, around), _SCHEMA), "passages")
+    with small_batches(documents.sparkSession):
+        read = staged(documents.select("doc_id", "text", "cells").mapInArrow(_read(items, wanted, around), _SCHEMA), "passages")
     weight, basis = latent_basis(read, items.size)
     return read.filter("kind = 'passage'").select("doc_id", "words"), (Search(items, p, weight, basis) for p in items.parts(PART_BYTES))
 

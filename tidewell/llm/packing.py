@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.operators import scan
-from tidewell.session import bounded_batches, staged
+from tidewell.session import small_batches, staged
 
 CAPACITY = 4096
 #: Lengths above this share of the capacity are grouped, the rest fill gaps.
@@ -57,7 +57,7 @@ def _encoder(name: str, vocabulary: bytes):
 
 
 def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, tokens) of whole texts.  The vocabulary file, some hundred kB, is read by the driver only."""
+    """(doc_id, tokens) of whole texts; run it within small_batches().  The vocabulary file, some hundred kB, is read by the driver only."""
     with open(tokenizer, "rb") as f:
         vocabulary = documents.sparkSession.sparkContext.broadcast(f.read())
 
@@ -67,7 +67,7 @@ def count_tokens(documents: DataFrame, tokenizer: str = TOKENIZER, text: str = "
             n = [len(encode(t)) if t else 0 for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64())], ["doc_id", "tokens"])
 
-    return bounded_batches(documents).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id bigint, tokens bigint")
+    return documents.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("t")).mapInArrow(run, "doc_id bigint, tokens bigint")
 
 
 def pieces(counts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
@@ -272,7 +272,9 @@ def ranked(items: DataFrame) -> DataFrame:
 
 def pack(documents: DataFrame, capacity: int = CAPACITY, tokenizer: str = TOKENIZER, large: float = LARGE, groups: int = GROUPS) -> DataFrame:
     """(container, doc_id, piece, tokens): every document with its container."""
-    return pack_items(staged(pieces(count_tokens(documents, tokenizer), capacity), "pieces"), capacity, large, groups)
+    with small_batches(documents.sparkSession):
+        items = staged(pieces(count_tokens(documents, tokenizer), capacity), "pieces")
+    return pack_items(items, capacity, large, groups)
 
 
 def pack_items(items: DataFrame, capacity: int = CAPACITY, large: float = LARGE, groups: int = GROUPS) -> DataFrame:

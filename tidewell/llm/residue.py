@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.cells import cell_lists, steps
-from tidewell.session import bounded_batches, staged
+from tidewell.session import small_batches, staged
 
 #: Share of an exemplar's distinct terms that a passage, and later a window, must hold.
 RETRIEVE = 0.75
@@ -597,7 +597,8 @@ def find_residue(documents: DataFrame, exemplars: Exemplars | None = None) -> Da
     """(doc_id): the documents to leave out."""
     exemplars = exemplars or Exemplars()
     run = _scan(exemplars)
-    found = staged(bounded_batches(documents).select("doc_id", "text", "cells").mapInArrow(run, _SCHEMA), "residue")
+    with small_batches(documents.sparkSession):
+        found = staged(documents.select("doc_id", "text", "cells").mapInArrow(run, _SCHEMA), "residue")
     counts = {r["term"]: r["n"] for r in found.filter("kind = 'df'").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # one row per exemplar term
     passages = counts.pop(None, 0) or 1
     idf = {t: float(np.log(1 + passages / n)) for t, n in counts.items()}
@@ -608,7 +609,8 @@ def find_residue(documents: DataFrame, exemplars: Exemplars | None = None) -> Da
             ok = [contains_residue(t, exemplars, idf, default) for t in b.column("passage").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id").filter(pa.array(ok, pa.bool_()))], ["doc_id"])
 
-    texts = found.filter("kind = 'passage'").select("doc_id", "passage").mapInArrow(judge, "doc_id bigint")
+    with small_batches(documents.sparkSession):
+        texts = staged(found.filter("kind = 'passage'").select("doc_id", "passage").mapInArrow(judge, "doc_id bigint"), "judged")
     return found.filter("kind = 'shape'").select("doc_id").unionByName(texts).distinct()
 
 
