@@ -39,25 +39,6 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{path}"
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Work for all cores from a table of few files: shuffled only if it has fewer
-    partitions than there are cores, so only if it is small."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    parts = df._jdf.queryExecution().toRdd().getNumPartitions()
-    return df.repartition(cores) if 0 < parts < cores else df
-
-
-def bounded_batches(df: DataFrame, rows: int = 512) -> DataFrame:
-    """Lets Arrow batches to Python hold at most so many rows, for long texts.
-
-    The setting is the session's and stays; a smaller one is kept."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    conf = df.sparkSession.conf
-    if not 0 < int(conf.get(key)) <= rows:
-        conf.set(key, str(rows))
-    return df
-
-
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
     """While it holds, Arrow batches to Python have at most so many rows, for long texts."""
