@@ -40,10 +40,9 @@ def test_watermark_goes_on_across_micro_batches_as_in_one(spark, tmp_path):
     for part in (data[:7] + data[20:25], data[7:20] + data[25:]):
         log_of(spark, part).coalesce(1).write.mode("append").parquet(str(source))
     stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(str(source))
-    out = stateful.running_watermark(stream, now_ms=30, skew_ms=0)
-    q = out.writeStream.format("memory").queryName("marks").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    assert rows(spark.table("marks").select("partition", "offset", "watermark_ms")) == once
+    marked = stateful.MarkedLog(spark, str(tmp_path / "marks"), now_ms=30, skew_ms=0)
+    stream.writeStream.foreachBatch(marked.process).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    assert rows(marked.read().select("partition", "offset", "watermark_ms")) == once
 
 
 def test_ranges(spark):
@@ -237,9 +236,9 @@ def test_stream_survives_a_failure_at_every_step(spark, tmp_path, fault):
     schema = spark.createDataFrame([], "topic string, partition int, offset bigint, timestamp_ms bigint, key binary, value binary, watermark_ms bigint").schema
 
     def run(fail=None):
-        storage = protocols.TwoPhaseStorage(spark, out, ledger, files=1)
+        storage = protocols.TwoPhaseStorage(spark, out, ledger, protocols.Layout(files=1))
         storage.fail_at = fail
-        ingest = Ingest(storage=storage, formatter=lambda d: d.select("partition", "offset", "watermark_ms"), records=6, now=lambda: 10**9, retry=retry.Policy(0))
+        ingest = Ingest(storage=storage, formatter=lambda d: d.select("partition", "offset", "watermark_ms"), strategy=AnyOf(records=6), now=lambda: 10**9, retry=retry.Policy(0))
         q = ingest.start(spark.readStream.schema(schema).parquet(source), str(tmp_path / "check"))
         if fail:
             with pytest.raises(Exception, match="injected"):
@@ -271,7 +270,7 @@ def test_own_source_reads_in_steps(spark, tmp_path):
     q.stop()
     assert sum(sizes) == 20 and max(sizes) == 8
     listener = ProgressListener()
-    assert listener.progress == []
+    assert list(listener.progress) == []
 
 
 def test_recovered_ledger(spark):
@@ -315,8 +314,12 @@ def test_payloads_files_and_names(spark):
     a, b = files.uuid7(1000), files.uuid7(2000)
     assert a.version == 7 and a < b and int.from_bytes(a.bytes[:6], "big") == 1000
     m = Ingest(storage=object()).metrics
-    m.polled, m.commit_s = 3, [0.5]
-    assert m.report("x") == {"x.records.polled": 3, "x.batch.commit.duration": 0.5}
+    m.polled = 3
+    m.commit_s.extend([0.5, 1.5])
+    m.watermark_delay_ms["t", 0] = 7
+    got = m.report("x")
+    assert got["x.records.polled"] == 3 and got["x.batch.commit.duration.p50"] == 1.0 and got["x.batch.commit.duration.max"] == 1.5 and got["x.records.polled.count"] == 0
+    assert got["x.batch.committed.watermark.delay.ms.t.0"] == 7 and got["x.batch.commit.queue.size"] == 0
 
 
 def test_an_entry_is_written_once_or_replaced(spark, tmp_path):
@@ -325,3 +328,100 @@ def test_an_entry_is_written_once_or_replaced(spark, tmp_path):
     f = Folder(spark, str(tmp_path / "f"))
     assert f.write("a/1.json", "x") and not f.write("a/1.json", "y") and f.read("a/1.json") == "x"
     assert f.write("a/1.json", "ü", overwrite=True) and f.read("a/1.json") == "ü" and f.names("a") == ["1.json"] and f.names("none") == []
+
+
+def test_cuts_by_records_and_bytes(spark):
+    data = [("t", p, o, 1000 * o, b"k" * 4, bytes(6), None) for p in range(2) for o in range(40)]
+    df = spark.createDataFrame(data, "topic string, partition int, offset bigint, timestamp_ms bigint, key binary, value binary, watermark_ms bigint")
+    for limit, most_n, most_b in ((AnyOf(records=7), 7, 70), (AnyOf(size=50), 5, 50), (AnyOf(records=7, size=55), 6, 60)):
+        cut = rows(limit.cut(df, ["topic"]).groupBy("batch").agg(F.count("*"), F.min("timestamp_ms"), F.max("timestamp_ms")))
+        assert sum(r[1] for r in cut) == 80 and all(r[1] <= most_n and 10 * r[1] <= most_b for r in cut)
+        assert all(a[3] <= b[2] for a, b in zip(cut, cut[1:]))
+    assert AnyOf(open_ms=500).cut(df, ["topic"]).columns == df.columns and Ingest(storage=object(), strategy=AnyOf(open_ms=500)).trigger() == {"processingTime": "500 milliseconds"}
+    fuzzy = FuzzyAnyOf(records=(10, 3), seed=5)
+    assert fuzzy.cut(df, ["topic"]).select("batch").distinct().count() >= 6
+
+
+def _batch(spark, offsets):
+    data = [("t", p, o, 1000 * o, b"k", f"{o};name{o}".encode(), None) for p in range(2) for o in offsets]
+    return spark.createDataFrame(data, "topic string, partition int, offset bigint, timestamp_ms bigint, key binary, value binary, watermark_ms bigint")
+
+
+def test_batches_are_files_of_their_own_and_positions_are_held(spark, tmp_path):
+    asked = []
+
+    class Counting(protocols.InRowStorage):
+        def committed_positions(self, partitions):
+            asked.append(len(partitions))
+            return super().committed_positions(partitions)
+
+    storage = Counting(spark, str(tmp_path / "t"), "g", layout=protocols.Layout(sort_by=("_offset",)))
+    shape = lambda d: d.select(F.col("topic").alias("_topic"), F.col("partition").alias("_partition"), F.col("offset").alias("_offset"), F.timestamp_millis("watermark_ms").cast("timestamp_ntz").alias("_watermark"), protocols.BATCH)
+    beats = []
+    ingest = Ingest(storage=storage, formatter=shape, strategy=AnyOf(records=6), now=lambda: 10**9, on_heartbeat=lambda t, p: beats.append((t, p)))
+    ingest.process(_batch(spark, range(9)), 0)
+    ingest.process(_batch(spark, range(5, 12)), 1)
+    ingest.heartbeat()
+    assert asked == [2] and sorted(beats) == [("t", 0), ("t", 1)]
+    assert rows(storage.read().select("_partition", "_offset")) == [(p, o) for p in range(2) for o in range(12)]
+    m = ingest.metrics
+    assert (m.polled, m.batched, m.written, m.batches, m.queued, m.heartbeats) == (24, 24, 24, 3 + 1, 0, 1) and list(m.polled_sizes) == [18, 14]
+    assert m.watermark_delay_ms["t", 0] == m.source_delay_ms["t", 1] == 10**9 - 11_000
+    again = Ingest(storage=storage, formatter=shape, now=lambda: 10**9)
+    again.process(_batch(spark, range(5, 12)), 2)
+    assert again.metrics.batches == 0 and storage.read().count() == 24
+
+
+def test_rewound_records_warm_up_only(spark, tmp_path):
+    from tidewell.model import OffsetInterval, WatermarkInterval
+
+    storage = protocols.TableStorage(spark, str(tmp_path / "t"), "g", layout=protocols.Layout("orc"))
+    keep = lambda d: d.select("partition", "offset")
+    Ingest(storage=storage, formatter=keep, now=lambda: 10**9).process(_batch(spark, range(8)), 0)
+    for interval, first in ((OffsetInterval(3), 5), (WatermarkInterval(2000), 7), (WatermarkInterval(5500), 4), (OffsetInterval(99), 0)):
+        warmed = []
+        ingest = Ingest(storage=storage, formatter=keep, now=lambda: 10**9, rewind=interval, warm_up=lambda d: warmed.extend(rows(d.select("partition", "offset"))))
+        ingest.process(_batch(spark, range(10)), 1)
+        assert sorted(warmed) == [(p, o) for p in range(2) for o in range(first, 8 if interval == OffsetInterval(3) else 10)], interval
+    assert rows(storage.read()) == [(p, o) for p in range(2) for o in range(10)]
+    with pytest.raises(ValueError):
+        Ingest(storage=storage, rewind=OffsetInterval(1)).build()
+
+
+def test_snapshots_are_bounded_and_manifests_keep_every_file(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(protocols.TableStorage, "MANIFEST", 3)
+    table = protocols.TableStorage(spark, str(tmp_path / "t"), "g")
+    df = spark.createDataFrame([(1,)], "n int")
+    for i in range(8):
+        assert table.commit_batch(df, [Range("t", 0, Position(i, 0), Position(i, i))]) == 1
+    assert len(table.folder.names("snapshots")) == 3 and table.read().count() == 8
+    assert table.committed_positions({("t", 0)}) == {("t", 0): Position(8, 7)}
+
+
+def test_watermarks_across_batches_by_state(spark, tmp_path):
+    from tidewell.streaming.stateful import MarkedLog
+
+    marked = MarkedLog(spark, str(tmp_path / "m"), 10**9)
+    for i, offsets in enumerate((range(5), range(5, 9), range(5, 9))):
+        marked.process(_batch(spark, offsets).withColumn("timestamp_ms", F.when(F.col("offset") % 3 == 2, F.lit(5)).otherwise(F.col("timestamp_ms"))), min(i, 1))
+    whole = watermark.with_watermark(_batch(spark, range(9)).withColumn("timestamp_ms", F.when(F.col("offset") % 3 == 2, F.lit(5)).otherwise(F.col("timestamp_ms"))), 10**9)
+    cols = ["topic", "partition", "offset", "watermark_ms"]
+    assert rows(marked.read().select(*cols)) == rows(whole.select(*cols))
+
+
+def test_a_wrapper_forwards(spark, tmp_path):
+    from tidewell.streaming.engine import Wrapped
+
+    calls = []
+
+    class Loud(Wrapped):
+        def process(self, df, batch_id):
+            calls.append(batch_id)
+            super().process(df, batch_id)
+
+    storage = protocols.TableStorage(spark, str(tmp_path / "t"), "g")
+    inner = Ingest(storage=storage, formatter=lambda d: d.select("offset"), now=lambda: 10**9)
+    outer = Loud(Loud(inner))
+    outer.process(_batch(spark, range(3)), 4)
+    outer.heartbeat()
+    assert calls == [4, 4] and storage.read().count() == 6 and inner.metrics.heartbeats == 1

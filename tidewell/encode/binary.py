@@ -4,14 +4,13 @@ All functions return binary columns; a null input gives null unless stated."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import BinaryType
 
-from tidewell.encode import writer
-
 #: Microseconds and days from 1970 to 2000-01-01, the epoch of the native format.
 NATIVE_EPOCH_US = 946_684_800_000_000
 NATIVE_EPOCH_DAYS = 10_957
@@ -40,6 +39,26 @@ def le_float32(x: pd.Series) -> pd.Series:
     return pd.Series([None if null else raw[i * 4 : i * 4 + 4] for i, null in enumerate(x.isna())])
 
 
+def le_floats(x: Column, double: bool, nullable: bool) -> Column:
+    """The elements of an array of floats one after another; a nullable one begins with 0, or is just 1 if null."""
+    kind, size = ("<f8", 8) if double else ("<f4", 4)
+
+    @pandas_udf(BinaryType())
+    def run(arrays: pd.Series) -> pd.Series:
+        out = []
+        for a in arrays:
+            if a is None:
+                out.append(None)
+            elif not nullable:
+                out.append(np.asarray(a, kind).tobytes())
+            else:
+                raw = np.asarray([0 if e is None else e for e in a], kind).tobytes()
+                out.append(b"".join(b"\1" if e is None else b"\0" + raw[i * size : i * size + size] for i, e in enumerate(a)))
+        return pd.Series(out)
+
+    return run(x)
+
+
 def scaled_int(d: Column, scale: int) -> Column:
     """The decimal times 10**scale, cut off toward zero, for results of up to 18 digits."""
     big = d * F.lit(10**scale).cast(f"decimal({scale + 1},0)")
@@ -53,11 +72,21 @@ def decimal(d: Column, precision: int, scale: int) -> Column:
     if precision < 19:
         return le_int(scaled_int(d, scale), 8)
 
-    @pandas_udf(BinaryType())
-    def wide(x: pd.Series) -> pd.Series:
-        return x.map(lambda v: None if v is None else writer.decimal(v, precision, scale))
-
-    return wide(d)
+    # two halves by whole-number decimal arithmetic: floor(v / 2**64) and the rest
+    unscaled = _digits(d, scale).cast("decimal(38,0)")
+    two64 = F.lit("18446744073709551616").cast("decimal(20,0)")
+    rest = F.pmod(unscaled, two64).cast("decimal(20,0)")
+    high = ((unscaled - rest) / two64).cast("decimal(38,0)").cast("bigint")
+    # a rest of 2**63 or more is a negative long
+    low = F.when(rest >= F.lit("9223372036854775808").cast("decimal(20,0)"), rest - two64).otherwise(rest).cast("bigint")
+    return F.when(d.isNotNull(), F.concat(le_int(high, 8), le_int(low, 8)))
+
+
+def _digits(d: Column, scale: int) -> Column:
+    """The decimal's digits up to the scale without the point: its value times 10**scale, cut off toward zero."""
+    text = d.cast("string")
+    whole, part = F.substring_index(text, ".", 1), F.when(F.instr(text, ".") > 0, F.substring_index(text, ".", -1)).otherwise(F.lit(""))
+    return F.concat(whole, F.substring(F.rpad(part, max(scale, 1), "0"), 1, scale))
 
 
 def leb128(n: Column) -> Column:

@@ -49,7 +49,8 @@ def _present(f: T.StructField, x: Column) -> Column:
         if isinstance(t.elementType, T.ArrayType) and isinstance(t.elementType.elementType, T.ArrayType):
             raise ValueError(f"{f.name}: arrays nest two levels at most")
         if isinstance(t.elementType, (T.FloatType, T.DoubleType)):
-            raise ValueError(f"{f.name}: arrays of floats have no encoding as an expression")
+            # a nullable element begins with a byte, see value()
+            return F.concat(binary.leb128(F.size(x)), binary.le_floats(x, isinstance(t.elementType, T.DoubleType), t.containsNull))
         # the aggregate's accumulator starts with the count
         return F.aggregate(x, binary.leb128(F.size(x)), lambda acc, e: F.concat(acc, value(item, e)))
     if isinstance(t, T.StructType):

@@ -33,6 +33,15 @@ class AnyOf:
             out = out | t
         return F.coalesce(out, F.lit(False))
 
+    def cut(self, records: DataFrame, group: Sequence[str]) -> DataFrame:
+        """Adds batch, see cut()."""
+        return cut(records, group, self.records, self.size)
+
+    @property
+    def interval_ms(self) -> int | None:
+        """Batches are open for a micro-batch, so open time is the trigger's interval."""
+        return self.open_ms
+
     def reached(self, open_ms: int, size: Callable[[], int], records: int) -> bool:
         """size is a function, so that it is asked only if needed."""
         return (
@@ -65,6 +74,16 @@ class FuzzyAnyOf:
         pick = lambda d: None if d is None else int(self._random.normal(d[0], d[1]))
         self._limits = (pick(self.open_ms), pick(self.size), pick(self.records))
 
+    def cut(self, records: DataFrame, group: Sequence[str]) -> DataFrame:
+        """Adds batch by the limits drawn, which are drawn anew afterwards."""
+        _, size, n = self._limits
+        self._draw()
+        return cut(records, group, n and max(1, n), size and max(1, size))
+
+    @property
+    def interval_ms(self) -> int | None:
+        return self._limits[0]
+
     def reached(self, open_ms: int, size: Callable[[], int], records: int) -> bool:
         self._calls += 1
         t, s, n = self._limits
@@ -94,6 +113,25 @@ def total(stats: DataFrame, by: Sequence[str], strategy: AnyOf) -> DataFrame:
     return sums.withColumn("ready", strategy.column(F.col("open_ms"), F.col("size"), F.col("records")))
 
 
+def _size() -> Column:
+    """Bytes of a record: its key and value."""
+    return F.coalesce(F.octet_length("key"), F.lit(0)) + F.coalesce(F.octet_length("value"), F.lit(0))
+
+
+def cut(records: DataFrame, group: Sequence[str], n: int | None = None, size: int | None = None) -> DataFrame:
+    """Adds batch: records of a group, in order of (timestamp_ms, topic, partition,
+    offset), cut so that no batch has more than n records, nor begins a record
+    beyond size bytes.  Cut by ranges, as ranks are; without a limit there is no batch."""
+    order = ["timestamp_ms", "topic", "partition", "offset"]
+    sums = ({"__n": F.lit(1).cast("bigint")} if n else {}) | ({"__b": _size().cast("bigint")} if size else {})
+    if not sums:
+        return records
+    counted = scan.running_sums(records, group, order, sums)
+    # both terms never fall, and their sum grows where either does
+    terms = ([F.floor(F.col("__n") / n)] if n else []) + ([F.floor(F.col("__b") / size)] if size else [])
+    return counted.withColumn("batch", sum(terms[1:], terms[0]).cast("bigint")).drop(*sums)
+
+
 def cut_by_count(records: DataFrame, group: Sequence[str], n: int = DEFAULT_RECORDS) -> DataFrame:
     """Adds batch: records of a group, in order of (timestamp_ms, topic, partition,
     offset), cut every n.  Ranked by ranges of that order, so neither a group nor

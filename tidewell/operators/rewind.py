@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewell.model import KEYS, OffsetInterval, WatermarkInterval
 from tidewell.operators import scan
+from tidewell.session import lookup
 from tidewell.sources import log as logs
 
 
@@ -34,6 +35,6 @@ def split(log: DataFrame, positions: DataFrame) -> DataFrame:
     A partition is done rewinding with the first record, in offset order, at or
     beyond its committed offset, and stays so; without a position nothing is
     written twice, so every record is written."""
-    at = positions.select(*KEYS, F.col("offset").alias("__at"))
+    at = lookup(positions.select(*KEYS, F.col("offset").alias("__at")), "positions")
     rows = log.join(at, KEYS, "left").withColumn("__done", F.when(F.coalesce(F.col("offset") >= F.col("__at"), F.lit(True)), F.lit(1)))
     return scan.running_max(rows.drop("__at"), KEYS, "offset", "__done", "__latch", inclusive=True).withColumn("rewound", F.col("__latch").isNull()).drop("__done", "__latch")

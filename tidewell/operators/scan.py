@@ -69,6 +69,21 @@ def range_split(rows: DataFrame, keys: Sequence[str], order: Sequence[str], labe
     return staged(rows.repartitionByRange(*keys, *order).withColumn(PID, F.spark_partition_id()), label)
 
 
+def running_sums(rows: DataFrame, keys: Sequence[str], order: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Adds for each name the sum of its column over the key's rows before this one, in the given order.
+
+    Sums within a range are shifted by those of the key's lower ranges, as ranks are."""
+    keys = list(keys)
+    ranged = range_split(rows.select("*", *[c.alias(f"__in_{n}") for n, c in sums.items()]), keys, order, "sums")
+    below = Window.partitionBy(*keys).orderBy(PID).rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*keys, PID).agg(*[F.sum(f"__in_{n}").alias(f"__s_{n}") for n in sums])
+    starts = totals.select(*keys, PID, *[F.coalesce(F.sum(f"__s_{n}").over(below), F.lit(0)).alias(f"__s_{n}") for n in sums])
+    own = Window.partitionBy(*keys, PID).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    summed = ranged.select("*", *[F.coalesce(F.sum(f"__in_{n}").over(own), F.lit(0)).alias(f"__r_{n}") for n in sums])
+    same = [summed[k].eqNullSafe(starts[k]) for k in keys] + [summed[PID] == starts[PID]]
+    return summed.join(starts, same).select(*[summed[c] for c in rows.columns], *[(starts[f"__s_{n}"] + summed[f"__r_{n}"]).alias(n) for n in sums])
+
+
 def running_count(rows: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
     """Adds out: the 0-based rank of a row within its key, in the given order.
 

@@ -24,6 +24,7 @@ def accepted(ts: Column, now_ms: int, skew_ms: int = SKEW_MS) -> Column:
 def with_watermark(log: DataFrame, now_ms: int, skew_ms: int = SKEW_MS, seeds: DataFrame | None = None, out: str = "watermark_ms", provider=accepted) -> DataFrame:
     """log with its running watermark, seeded by (topic, partition, seed_ms) where given.
 
+    seeds have a row per topic partition; hint them by lookup().
     provider: the column to take the running maximum of.  The maximum is taken
     by blocks of offsets, so a partition holding most of the log is no
     bottleneck."""

@@ -56,11 +56,13 @@ def small_batches(spark: SparkSession, rows: int = 512) -> Iterator[None]:
 LOOKUP_ROWS = 100_000
 
 
-def lookup(df: DataFrame, label: str = "lookup", most: int = LOOKUP_ROWS) -> DataFrame:
-    """df, written once and counted, to be joined to a large table: broadcast up
-    to so many rows, merged beyond."""
-    kept = staged(df, label)
-    return F.broadcast(kept) if kept.count() <= most else kept.hint("merge")
+def lookup(df: DataFrame, label: str = "lookup", most: int = LOOKUP_ROWS, rows: int | None = None) -> DataFrame:
+    """df, to be joined to a large table: broadcast up to so many rows, merged
+    beyond.  Written once and counted, unless its number of rows is known."""
+    if rows is None:
+        df = staged(df, label)
+        rows = df.count()
+    return F.broadcast(df) if rows <= most else df.hint("merge")
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidewell.model import KEYS, RECORD
+from tidewell.session import lookup
 
 
 def scan(log: DataFrame) -> DataFrame:
@@ -36,7 +37,8 @@ def offsets_for_times(log: DataFrame, targets: DataFrame) -> DataFrame:
     """targets: (topic, partition, target_ms).  Adds offset and its time: the
     earliest offset whose time is at or after the target, null if none is.
 
-    One grouped minimum; the targets are few (one per topic partition)."""
+    One grouped minimum; the targets, one per topic partition, are looked up."""
+    targets = lookup(targets, "targets")
     hit = log.join(targets, KEYS).filter(F.col("timestamp_ms") >= F.col("target_ms"))
     first = hit.groupBy(*KEYS, "target_ms").agg(F.min(F.struct("offset", "timestamp_ms")).alias("f"))
     return targets.join(first, [*KEYS, "target_ms"], "left").select(*KEYS, "target_ms", F.col("f.offset").alias("offset"), F.col("f.timestamp_ms").alias("timestamp_ms"))
@@ -45,7 +47,7 @@ def offsets_for_times(log: DataFrame, targets: DataFrame) -> DataFrame:
 def from_positions(log: DataFrame, positions: DataFrame) -> DataFrame:
     """Records at or beyond the committed positions, with seed_ms, the watermark
     to go on from; partitions without a position start at their beginning."""
-    seeds = positions.select(*KEYS, F.col("offset").alias("__from"), F.col("watermark_ms").alias("seed_ms"))
+    seeds = lookup(positions.select(*KEYS, F.col("offset").alias("__from"), F.col("watermark_ms").alias("seed_ms")), "positions")
     return log.join(seeds, KEYS, "left").filter("__from is null or offset >= __from").drop("__from")
 
 

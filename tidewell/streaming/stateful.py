@@ -1,48 +1,47 @@
-"""Watermarks and panes as keyed state of a streaming query."""
+"""Watermarks and panes as state of a streaming query, carried from micro-batch to micro-batch."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tidewell.commit.storage import Folder
-from tidewell.model import NO_WATERMARK
+from tidewell.model import KEYS
 from tidewell.operators import late_events, watermark
 from tidewell.session import lookup, staged
+from tidewell.sources import log
 
-OUT = "topic string, partition int, offset bigint, timestamp_ms bigint, watermark_ms bigint"
 
+class MarkedLog:
+    """The running watermark across micro-batches, as a table on a shared file system.
 
-class RunningWatermark(StatefulProcessor):
-    """The running watermark across micro-batches; records of a partition come in offset order."""
+    The state is the greatest watermark per topic partition.  Within a batch the
+    maximum is taken by blocks of offsets, so a partition that holds most of it is
+    no bottleneck.  Rows of a batch and the state after it appear by one rename."""
 
-    def __init__(self, now_ms: int, skew_ms: int = watermark.SKEW_MS):
-        self.limit = now_ms + skew_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("watermark", "ms bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        mark = self.state.get()[0] if self.state.exists() else NO_WATERMARK
-        whole = pd.concat(list(rows)).sort_values("offset", kind="stable")
-        ok = whole["timestamp_ms"].where(whole["timestamp_ms"] <= self.limit, NO_WATERMARK)
-        run = ok.cummax().clip(lower=mark).astype("int64")
-        self.state.update((int(run.iloc[-1]),))
-        yield whole[["topic", "partition", "offset", "timestamp_ms"]].assign(watermark_ms=run)
-
-    def close(self) -> None:
-        pass
+    def __init__(self, spark, path: str, now_ms: int, skew_ms: int = watermark.SKEW_MS):
+        self.spark, self.now_ms, self.skew_ms = spark, now_ms, skew_ms
+        self.folder = Folder(spark, path)
 
+    def process(self, batch: DataFrame, batch_id: int) -> None:
+        at = self.folder.read_json("CURRENT") if self.folder.exists("CURRENT") else None
+        if at and at["batch"] >= batch_id:
+            return
+        name = f"v{batch_id:012d}"
+        marks = self.spark.read.parquet(self.folder.full(at["marks"])) if at else None
+        rows = log.scan(batch.select(*KEYS, "offset", "timestamp_ms"))
+        watermark.with_watermark(rows, self.now_ms, self.skew_ms, None if marks is None else lookup(marks, "marks")).write.mode("overwrite").parquet(self.folder.full(f"rows/{name}"))
+        marked = self.spark.read.parquet(self.folder.full(f"rows/{name}")).groupBy(*KEYS).agg(F.max("watermark_ms").alias("seed_ms"))
+        if marks is not None:
+            marked = marked.unionByName(marks).groupBy(*KEYS).agg(F.max("seed_ms").alias("seed_ms"))
+        marked.write.mode("overwrite").parquet(self.folder.full(f"marks/{name}"))
+        self.folder.write("CURRENT", json.dumps({"batch": batch_id, "marks": f"marks/{name}", "rows": [*(at["rows"] if at else []), f"rows/{name}"]}), overwrite=True)
 
-def running_watermark(stream: DataFrame, now_ms: int, skew_ms: int = watermark.SKEW_MS) -> DataFrame:
-    """Needs the RocksDB state store provider."""
-    rows = stream.select("topic", "partition", "offset", "timestamp_ms")
-    return rows.groupBy("topic", "partition").transformWithStateInPandas(RunningWatermark(now_ms, skew_ms), OUT, "append", "None")
+    def read(self) -> DataFrame | None:
+        at = self.folder.read_json("CURRENT") if self.folder.exists("CURRENT") else None
+        return self.spark.read.parquet(*[self.folder.full(r) for r in at["rows"]]) if at else None
 
 
 #: Versions whose folders may hold live panes before a batch writes all of them anew.
