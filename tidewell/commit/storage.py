@@ -75,6 +75,9 @@ class Folder:
         self._fs.mkdirs(self._p(target).getParent())
         return self._fs.rename(self._p(source), self._p(target))
 
+    def make(self, name: str) -> None:
+        self._fs.mkdirs(self._p(name))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._p(name), True)
 

@@ -219,17 +219,17 @@ def write_once(base: str, name: str, content: bytes) -> str:
     return final
 
 
-def write_files(contents: DataFrame, base: str) -> DataFrame:
-    """contents: (name, content).  Writes each as a file below base; returns (name, bytes, crc)."""
+def write_files(contents: DataFrame, base: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """contents: (name, content).  Writes each as a file below base; returns (name, bytes, crc) and the bigint columns kept."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             blobs = b.column(1).to_pylist()
             for name, blob in zip(b.column(0).to_pylist(), blobs, strict=True):
                 write_once(base, name, blob)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in blobs], pa.int64()), pa.array([zlib.crc32(x) for x in blobs], pa.int64())], ["name", "bytes", "crc"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(x) for x in blobs], pa.int64()), pa.array([zlib.crc32(x) for x in blobs], pa.int64()), *b.columns[2:]], ["name", "bytes", "crc", *keep])
 
-    return contents.select("name", "content").mapInArrow(run, "name string, bytes bigint, crc bigint")
+    return contents.select("name", "content", *keep).mapInArrow(run, ", ".join(["name string, bytes bigint, crc bigint", *[f"{c} bigint" for c in keep]]))
 
 
 def concat_files(moves: DataFrame, source: str, destination: str, kind: str, header_lines: int = 0) -> DataFrame:

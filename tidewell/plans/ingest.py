@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewell.commit import metadata, protocols
+from tidewell.commit import metadata
 from tidewell.encode import binary, csv, native, rowbinary
 from tidewell.model import KEYS, RECORD, OffsetInterval, WatermarkInterval, format_ms, struct
 from tidewell.operators import commit_strategy, formatting, positions, ranges, rewind, routing, watermark
 from tidewell.operators.commit_strategy import AnyOf
 from tidewell.operators.late_events import HOUR_MS
-from tidewell.session import epoch_ms, load, shared_dir
+from tidewell.session import epoch_ms, load, lookup, scratch, staged
 from tidewell.sources import files
 from tidewell.sources import log as logs
 from tidewell.streaming import stateful
-from tidewell.streaming.engine import Ingest
 
 #: The clock of the watermark queries, and the time looked up in the log.
 NOW_MS = 1_672_900_000_000
@@ -52,7 +49,8 @@ def _file_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 
 def log_scan(spark: SparkSession, d: str) -> DataFrame:
-    return _log(spark, d)
+    rows = logs.scan(load(spark, d, "stream_record"))
+    return rows.select(*KEYS, "offset", "timestamp_ms", F.hex("key").alias("key"), F.hex("value").alias("value"), "watermark_ms")
 
 
 def log_scan_pattern(spark: SparkSession, d: str) -> DataFrame:
@@ -64,7 +62,7 @@ def running_watermark(spark: SparkSession, d: str) -> DataFrame:
 
 
 def seeded_watermark(spark: SparkSession, d: str) -> DataFrame:
-    seeds = positions.external(load(spark, d, "file_offsets"), GROUP).select(*KEYS, F.col("watermark_ms").alias("seed_ms"))
+    seeds = lookup(positions.external(load(spark, d, "file_offsets"), GROUP).select(*KEYS, F.col("watermark_ms").alias("seed_ms")), "seeds")
     return watermark.with_watermark(_log(spark, d), NOW_MS, seeds=seeds).select(*KEYS, "offset", "watermark_ms")
 
 
@@ -88,7 +86,7 @@ def stream_ranges(spark: SparkSession, d: str) -> DataFrame:
 
 def range_merge(spark: SparkSession, d: str) -> DataFrame:
     b = _batched(spark, d)
-    return ranges.merge(ranges.build(b.filter("batch % 2 = 0")), ranges.build(b.filter("batch % 2 = 1 and partition < 4")))
+    return ranges.merge(ranges.build(b.filter("batch % 2 = 0")), ranges.build(b.filter("batch % 2 = 1")))
 
 
 def positions_in_row(spark: SparkSession, d: str) -> DataFrame:
@@ -133,8 +131,8 @@ def group_routing(spark: SparkSession, d: str) -> DataFrame:
 
 def assign_revoke(spark: SparkSession, d: str) -> DataFrame:
     group = routing.modulo_group(2)
-    assigned = routing.assign(_partitions(spark, d, "loader_audit").filter("partition < 3"), _partitions(spark, d, GROUP), group)
-    return routing.revoke(assigned, _partitions(spark, d, "loader_backfill").filter("partition = 1"), group)
+    assigned = routing.assign(_partitions(spark, d, "loader_audit"), _partitions(spark, d, GROUP), group)
+    return routing.revoke(assigned, _partitions(spark, d, "loader_backfill"), group)
 
 
 def format_flatmap(spark: SparkSession, d: str) -> DataFrame:
@@ -212,7 +210,7 @@ def timestamp_format(spark: SparkSession, d: str) -> DataFrame:
     return _log(spark, d).select(*KEYS, "offset", format_ms(ts, csv.TIMESTAMP).alias("text"), format_ms(ts, "'dt='yyyyMMdd").alias("path"))
 
 
-_CSV = struct("_topic string, _partition int, _offset bigint, id int, name string, timestamp timestamp_ntz, is_enabled boolean, child_ids array<int>, parent_id bigint, money_spent decimal(18,6)")
+_CSV = struct("_topic string, _partition int, _offset bigint, id int, name string, timestamp timestamp_ntz, is_enabled boolean, child_ids array<int>, parent_id bigint, money_spent decimal(18,6), transaction_id string")
 
 
 def csv_line(spark: SparkSession, d: str) -> DataFrame:
@@ -251,7 +249,6 @@ def decimal_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def float_bytes(spark: SparkSession, d: str) -> DataFrame:
-    """Rows only: SQL has no floats as bytes."""
     return load(spark, d, "test_table").select("_file_id", "id", F.hex(binary.le_float64(F.col("height"))).alias("le64"), F.hex(binary.le_float32(F.col("width"))).alias("le32"))
 
 
@@ -270,13 +267,14 @@ def rowbinary_time(spark: SparkSession, d: str) -> DataFrame:
 _RB = T.StructType([
     T.StructField("id", T.IntegerType(), False), T.StructField("name", T.StringType(), True), T.StructField("is_enabled", T.BooleanType(), False),
     T.StructField("child_ids", T.ArrayType(T.IntegerType(), False), False), T.StructField("parent_id", T.LongType(), True), T.StructField("money_spent", T.DecimalType(18, 6), False),
-    T.StructField("timestamp", T.TimestampNTZType(), False),
+    T.StructField("timestamp", T.TimestampNTZType(), False), T.StructField("height", T.DoubleType(), False), T.StructField("width", T.FloatType(), False),
+    T.StructField("transaction_id", T.StringType(), False, {"uuid": True}), T.StructField("widths", T.ArrayType(T.FloatType(), False), False),
 ])
-_NATIVE = T.StructType([f for f in _RB.fields if f.name != "child_ids"])
+_NATIVE = T.StructType([f for f in _RB.fields if f.name not in ("child_ids", "widths")])
 
 
 def rowbinary_row(spark: SparkSession, d: str) -> DataFrame:
-    return rowbinary.encode(load(spark, d, "test_table"), _RB).select("_file_id", F.hex("row").alias("row"))
+    return rowbinary.encode(load(spark, d, "test_table").withColumn("widths", F.array("width", "width")), _RB).select("_file_id", F.hex("row").alias("row"))
 
 
 def native_row(spark: SparkSession, d: str) -> DataFrame:
@@ -290,52 +288,26 @@ def two_phase_positions(spark: SparkSession, d: str) -> DataFrame:
     return text.select(*KEYS, "offset", F.coalesce(metadata.parsed(F.col("metadata"))["watermark"], F.lit(0).cast("bigint")).alias("watermark_ms"))
 
 
-def two_phase_recover(spark: SparkSession, d: str) -> DataFrame:
-    runs = load(spark, d, "run_ledger").groupBy(F.col("_topic").alias("topic"), F.col("_partition").alias("partition")).agg(
-        F.max(F.struct("logged_at", "run_state", "run_id", F.col("_start_offset").alias("s"), F.col("_end_offset").alias("e"))).alias("r")
-    )
-    wm = F.unix_millis(F.col("r.logged_at").cast("timestamp"))
-    intents = runs.select(
-        *KEYS, F.col("r.s").alias("offset"), (wm - 1000).alias("watermark_ms"), (F.col("r.run_state") != "failed").alias("staged"), (F.col("r.run_id") % 2 == 0).alias("stored"),
-        F.col("r.e").alias("end_offset"), wm.alias("end_watermark_ms"),
-    )
-    return protocols.recover_ledger(intents)
-
-
 def multiset_readback(spark: SparkSession, d: str) -> DataFrame:
     """Written by date and topic to files and read back: what is there, how often."""
-    base = f"{shared_dir(spark)}/readback/{uuid.uuid4().hex}"
-    t = load(spark, d, "test_table").select("_topic", "id", "name", "money_spent", formatting.utc_date(F.col("timestamp")).alias("day"))
-    t.write.options(**files.ParquetConfig().options()).partitionBy("day").parquet(base)
-    back = spark.read.parquet(base)
-    return back.groupBy("day", "_topic").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("id").alias("ids"), F.sum("money_spent").cast("decimal(38,6)").alias("money_spent"))
-
-
-def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
-    """The log through the streaming engine into a table with its offsets, then read back."""
-    load(spark, d, "stream_record")  # the session's time zone
-    base = f"{shared_dir(spark)}/ingest/{uuid.uuid4().hex}"
-    storage = protocols.TableStorage(spark, f"{base}/table", GROUP)
-    ingest = Ingest(storage=storage, formatter=_named, now=lambda: NOW_MS, records=10_000_000, coalesce=True)
-    query = ingest.start(spark.readStream.schema(RECORD).parquet(f"{d}/stream_record.parquet*"), f"{base}/checkpoint")
-    query.awaitTermination()
-    return storage.read().select(*KEYS, "offset", "watermark_ms", "name")
-
-
-def _named(records: DataFrame) -> DataFrame:
-    kept = formatting.filtering("value is not null")(records)
-    return kept.select(*KEYS, "offset", "watermark_ms", formatting.payload_fields(F.col("value"))[1].alias("name"))
+    t = load(spark, d, "test_table").withColumn("day", formatting.utc_date(F.col("timestamp")))
+    with scratch(spark, "readback") as path:
+        # rows of a day come together: not every task writes a file in every folder
+        t.hint("rebalance", "day").write.options(**files.ParquetConfig().options()).partitionBy("day").parquet(path)
+        back = spark.read.parquet(path)
+        kinds = [F.count_distinct(c).alias(c) for c in ("height", "width", "transaction_id")]
+        counted = back.groupBy("day", "_topic").agg(F.count(F.lit(1)).alias("records"), F.count_distinct("id").alias("ids"), F.sum("money_spent").cast("decimal(38,6)").alias("money_spent"), *kinds)
+        return staged(counted, "readback")
 
 
 def stateful_watermark(spark: SparkSession, d: str) -> DataFrame:
-    """The running watermark by keyed state of a streaming query."""
+    """The running watermark by state that micro-batches carry on; each record's row is written once."""
     load(spark, d, "stream_record")  # the session's time zone
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    base = f"{shared_dir(spark)}/stateful/{uuid.uuid4().hex}"
-    marked = stateful.running_watermark(spark.readStream.schema(RECORD).parquet(f"{d}/stream_record.parquet*"), NOW_MS)
-    query = marked.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.schema(marked.schema).parquet(f"{base}/out").distinct()
+    with scratch(spark, "stateful") as path:
+        marked = stateful.MarkedLog(spark, f"{path}/marked", NOW_MS)
+        query = spark.readStream.schema(RECORD).parquet(f"{d}/stream_record.parquet*").writeStream.foreachBatch(marked.process)
+        query.option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+        return staged(marked.read(), "marked")
 
 
 def file_paths(spark: SparkSession, d: str) -> DataFrame:
@@ -353,7 +325,7 @@ QUERIES = {
         batch_committed, offsets_for_times, rewind_offset, rewind_watermark, rewind_split, group_routing, assign_revoke, format_flatmap, ranges_prefilter, records_written_vs_batched,
         partition_by_date, cut_by_count, commit_any, commit_all, commit_total, transform_truncate, file_offsets_left_join, dedup_token, offset_property, timestamp_format, csv_line, le_int,
         leb128_length, fixed_string, max_string, utf8_truncate, decimal_scaled, decimal_wide, float_bytes, native_time, rowbinary_time, rowbinary_row, native_row, two_phase_positions,
-        two_phase_recover, multiset_readback, streaming_ingest, stateful_watermark, file_paths,
+        multiset_readback, stateful_watermark, file_paths,
     )
 }
 
@@ -405,10 +377,29 @@ def _cut(column: str, most: int) -> str:
 
 
 _US = 'epoch_us("timestamp")'
-_SQL_NATIVE = f"""{_le('id', 4)} || {_le('strlen(name)', 4)} || hex(encode(name)) || {_le('is_enabled::INT', 1)} || COALESCE({_le('parent_id', 8)}, '') || {_le('CAST(money_spent * 1000000 AS BIGINT)', 8)} || {_le(f'({_US} - 946684800000000)', 8)}"""
+
+
+def float_le(column: str, kind: str) -> str:
+    """A float's bytes in hex, little endian."""
+    h, n = f"hex(CAST(CAST({column} AS BIT) AS BLOB))", 8 if kind == "DOUBLE" else 4
+    return " || ".join(f"substr({h}, {2 * i - 1}, 2)" for i in range(n, 0, -1))
+
+
+_UUID = "upper(replace(transaction_id, '-', ''))"
+
+
+def _turned(a: int, b: int) -> str:
+    return " || ".join(f"substr({_UUID}, {2 * i - 1}, 2)" for i in range(b, a - 1, -1))
+
+
+_UUID_HALVES = f"{_turned(1, 8)} || {_turned(9, 16)}"
+_WIDTH = "CAST(width AS DOUBLE)"
+_HEIGHT_LE, _WIDTH_LE, _WIDE_LE = float_le("height", "DOUBLE"), float_le("width", "FLOAT"), float_le(_WIDTH, "DOUBLE")
+_SQL_NATIVE = f"""{_le('id', 4)} || {_le('strlen(name)', 4)} || hex(encode(name)) || {_le('is_enabled::INT', 1)} || COALESCE({_le('parent_id', 8)}, '') || {_le('CAST(money_spent * 1000000 AS BIGINT)', 8)} || {_le(f'({_US} - 946684800000000)', 8)} || {_HEIGHT_LE} || {_WIDE_LE} || {_UUID}"""
 
 SQL = {
-    "log_scan": _L + "SELECT * FROM log",
+    "log_scan": """SELECT topic, "partition", "offset", MAX(timestamp_ms) AS timestamp_ms, hex(MAX(key)) AS key, hex(MAX(value)) AS value, MAX(watermark_ms) AS watermark_ms FROM stream_record
+      WHERE topic IS NOT NULL AND "partition" IS NOT NULL AND "offset" IS NOT NULL GROUP BY ALL""",
     "log_scan_pattern": _L + "SELECT * FROM log WHERE regexp_matches(topic, '^(meter|parcel)_')",
     "running_watermark": _W + "SELECT * FROM w",
     "seeded_watermark": _W + f""", {_ext(GROUP)} SELECT w.topic, w."partition", w."offset", GREATEST(COALESCE(pos.watermark_ms, -1), w.watermark_ms) AS watermark_ms
@@ -416,7 +407,7 @@ SQL = {
     "late_records": _W + """SELECT topic, "partition", COUNT(*) FILTER (timestamp_ms >= 0 AND timestamp_ms < watermark_ms) AS late, COUNT(*) AS records FROM w GROUP BY topic, "partition\"""",
     "future_rejected": _L + f"""SELECT topic, "partition", COUNT(*) FILTER (timestamp_ms > {NOW_MS + watermark.SKEW_MS}) AS rejected FROM log GROUP BY topic, "partition\"""",
     "stream_ranges": _W + f"""SELECT "offset" // 100 AS batch, topic, "partition", {_RANGE} FROM w GROUP BY 1, 2, 3""",
-    "range_merge": _W + f""", r AS (SELECT ("offset" // 100) % 2 AS side, topic, "partition", {_RANGE} FROM w WHERE ("offset" // 100) % 2 = 0 OR "partition" < 4 GROUP BY 1, 2, 3),
+    "range_merge": _W + f""", r AS (SELECT ("offset" // 100) % 2 AS side, topic, "partition", {_RANGE} FROM w GROUP BY 1, 2, 3),
       a AS (SELECT * FROM r WHERE side = 0), b AS (SELECT * FROM r WHERE side = 1)
       SELECT COALESCE(a.topic, b.topic) AS topic, COALESCE(a."partition", b."partition") AS "partition", COALESCE(a.start_offset, b.start_offset) AS start_offset,
         COALESCE(a.start_watermark_ms, b.start_watermark_ms) AS start_watermark_ms, COALESCE(b.end_offset, a.end_offset) AS end_offset, COALESCE(b.end_watermark_ms, a.end_watermark_ms) AS end_watermark_ms
@@ -436,8 +427,8 @@ SQL = {
       SELECT topic, "partition", COUNT(*) FILTER (NOT done) AS touched, COUNT(*) FILTER (done) AS written FROM s GROUP BY 1, 2""",
     "group_routing": _L + """SELECT 'partition_' || ("partition" % 2) AS group_name, COUNT(*) AS records FROM log GROUP BY 1""",
     "assign_revoke": """WITH p AS (SELECT DISTINCT _consumer_group AS g, _topic AS topic, _partition AS "partition" FROM file_offsets),
-      a AS (SELECT topic, "partition" FROM p WHERE (g = 'loader_audit' AND "partition" < 3) OR g = 'loader_main' GROUP BY ALL)
-      SELECT topic, "partition", 'partition_' || ("partition" % 2) AS group_name FROM a WHERE (topic, "partition") NOT IN (SELECT (topic, "partition") FROM p WHERE g = 'loader_backfill' AND "partition" = 1)""",
+      a AS (SELECT topic, "partition" FROM p WHERE g IN ('loader_audit', 'loader_main') GROUP BY ALL)
+      SELECT topic, "partition", 'partition_' || ("partition" % 2) AS group_name FROM a WHERE (topic, "partition") NOT IN (SELECT (topic, "partition") FROM p WHERE g = 'loader_backfill')""",
     "format_flatmap": _V + """SELECT topic, "partition", "offset", UNNEST(string_split(decode(value), ';')) AS field FROM pay WHERE value IS NOT NULL""",
     "ranges_prefilter": _V + """SELECT "offset" // 100 AS batch, topic, "partition", MIN("offset") AS start_offset, MAX("offset") AS end_offset, COUNT(*) FILTER (value IS NOT NULL AND "partition" % 2 = 0) AS written FROM pay GROUP BY 1, 2, 3""",
     "records_written_vs_batched": _V + """SELECT topic, "partition", COUNT(*) AS batched, CAST(COALESCE(SUM(len(string_split(decode(value), ';'))), 0) AS BIGINT) AS written FROM pay GROUP BY 1, 2""",
@@ -454,7 +445,7 @@ SQL = {
     "timestamp_format": _L + """SELECT topic, "partition", "offset", CASE WHEN timestamp_ms >= 0 THEN strftime(make_timestamp(timestamp_ms * 1000), '%Y-%m-%d %H:%M:%S.%g') END AS text,
       CASE WHEN timestamp_ms >= 0 THEN strftime(make_timestamp(timestamp_ms * 1000), 'dt=%Y%m%d') END AS path FROM log""",
     "csv_line": f"""SELECT _file_id, concat(COALESCE(_topic, ''), chr(9), COALESCE(_partition::VARCHAR, ''), chr(9), COALESCE(_offset::VARCHAR, ''), chr(9), COALESCE(id::VARCHAR, ''), chr(9), COALESCE(name, ''), chr(9),
-      strftime(make_timestamp({_US} // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%g'), chr(9), is_enabled::VARCHAR, chr(9), array_to_string(child_ids, ';'), chr(9), COALESCE(parent_id::VARCHAR, ''), chr(9), money_spent::VARCHAR) AS line FROM test_table""",
+      strftime(make_timestamp({_US} // 1000 * 1000), '%Y-%m-%d %H:%M:%S.%g'), chr(9), is_enabled::VARCHAR, chr(9), array_to_string(child_ids, ';'), chr(9), COALESCE(parent_id::VARCHAR, ''), chr(9), money_spent::VARCHAR, chr(9), COALESCE(transaction_id, '')) AS line FROM test_table""",
     "le_int": f"SELECT _file_id, _offset, id, {_le('_partition', 2)} AS le16, {_le('id', 4)} AS le32, {_le('parent_id', 8)} AS le64 FROM test_table",
     "leb128_length": f"SELECT doc_id, {_varint('strlen(text)')} AS length FROM documents",
     "fixed_string": f"SELECT _file_id, id, rpad({_cut('name', 12)}, 24, '20') AS fixed FROM test_table",
@@ -462,21 +453,18 @@ SQL = {
     "utf8_truncate": f"SELECT doc_id, {_cut('text', 120)} AS cut FROM documents",
     "decimal_scaled": f"SELECT _file_id, id, CAST(trunc(money_spent * 100) AS BIGINT) AS scaled, {_le('trunc(money_spent * 100)', 8)} AS bytes FROM test_table",
     "decimal_wide": f"SELECT _file_id, id, CASE WHEN money_spent < 0 AND money_spent * 1000000 != 0 THEN repeat('FF', 8) ELSE repeat('00', 8) END || {_le('CAST(money_spent * 1000000 AS BIGINT)', 8)} AS bytes FROM test_table",
+    "float_bytes": f"SELECT _file_id, id, {_HEIGHT_LE} AS le64, {_WIDTH_LE} AS le32 FROM test_table",
     "native_time": f"SELECT _file_id, id, {_le(f'({_US} - 946684800000000)', 8)} AS micros, {_le(f'({_US} // 86400000000 - 10957)', 8)} AS days FROM test_table",
     "rowbinary_time": f"SELECT _file_id, id, {_le(f'({_US} // 1000000)', 4)} AS seconds, {_le(f'({_US} // 86400000000)', 2)} AS days FROM test_table",
     "rowbinary_row": f"""SELECT _file_id, {_le('id', 4)} || CASE WHEN name IS NULL THEN '01' ELSE '00' || {_varint('strlen(name)')} || hex(encode(name)) END || {_le('is_enabled::INT', 1)} || {_varint('len(child_ids)')}
       || array_to_string(list_transform(child_ids, lambda x: {_le('x', 4).replace('lambda i:', 'lambda j:').replace('CAST(i * 8', 'CAST(j * 8')}), '') || CASE WHEN parent_id IS NULL THEN '01' ELSE '00' || {_le('parent_id', 8)} END
-      || {_le('CAST(money_spent * 1000000 AS BIGINT)', 8)} || {_le(f'({_US} // 1000000)', 4)} AS "row" FROM test_table""",
-    "native_row": f"""WITH v AS (SELECT _file_id, parent_id IS NULL AS n, {_SQL_NATIVE} AS h FROM test_table) SELECT _file_id, {_le('(strlen(h) // 2)', 4)} || CASE WHEN n THEN '10' ELSE '00' END || h AS "row" FROM v""",
+      || {_le('CAST(money_spent * 1000000 AS BIGINT)', 8)} || {_le(f'({_US} // 1000000)', 4)} || {_HEIGHT_LE} || {_WIDTH_LE} || {_UUID_HALVES} || '02' || {_WIDTH_LE} || {_WIDTH_LE} AS "row" FROM test_table""",
+    "native_row": f"""WITH v AS (SELECT _file_id, parent_id IS NULL AS n, {_SQL_NATIVE} AS h FROM test_table) SELECT _file_id, {_le('(strlen(h) // 2)', 4)} || CASE WHEN n THEN '1000' ELSE '0000' END || h AS "row" FROM v""",
     "two_phase_positions": f"""WITH {_FR} SELECT topic, "partition", ARG_MAX(end_offset, _file_id) + 1 AS "offset", COALESCE(ARG_MAX({{'w': epoch_us(_end_watermark) // 1000}}, _file_id).w, 0) AS watermark_ms FROM fr WHERE _consumer_group = '{GROUP}' GROUP BY 1, 2""",
-    "two_phase_recover": """WITH r AS (SELECT _topic AS topic, _partition AS "partition", MAX({'l': logged_at, 'st': run_state, 'id': run_id, 's': _start_offset, 'e': _end_offset}) AS r FROM run_ledger GROUP BY ALL)
-      SELECT topic, "partition", CASE WHEN r.st != 'failed' THEN r.e + 1 ELSE r.s END AS "offset", CASE WHEN r.st != 'failed' THEN epoch_us(r.l) // 1000 ELSE epoch_us(r.l) // 1000 - 1000 END AS watermark_ms,
-        r.st != 'failed' AND r.id % 2 != 0 AS store FROM r""",
-    "multiset_readback": """SELECT CAST("timestamp" AS DATE) AS day, _topic, COUNT(*) AS records, COUNT(DISTINCT id) AS ids, CAST(SUM(money_spent) AS DECIMAL(38,6)) AS money_spent FROM test_table GROUP BY 1, 2""",
+    "multiset_readback": """SELECT CAST("timestamp" AS DATE) AS day, _topic, COUNT(*) AS records, COUNT(DISTINCT id) AS ids, CAST(SUM(money_spent) AS DECIMAL(38,6)) AS money_spent,
+      COUNT(DISTINCT height) AS height, COUNT(DISTINCT width) AS width, COUNT(DISTINCT transaction_id) AS transaction_id FROM test_table GROUP BY 1, 2""",
     "stateful_watermark": _W + "SELECT topic, \"partition\", \"offset\", timestamp_ms, watermark_ms FROM w",
     "file_paths": _L + """, f AS (SELECT CAST(make_timestamp(timestamp_ms * 1000) AS DATE) AS day, "partition" % 2 AS part, topic, "partition", MIN("offset") AS s, MAX("offset") AS e FROM log WHERE timestamp_ms >= 0 GROUP BY ALL),
       h AS (SELECT day, part, md5(string_agg(concat_ws(':', topic, "partition", s, e), ';' ORDER BY topic, "partition")) AS h FROM f GROUP BY 1, 2)
       SELECT day, part, strftime(day, 'dt=%Y%m%d') || '/' || concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) || '.zst' AS path FROM h""",
-    "streaming_ingest": _W + """, pay AS (SELECT topic, "partition", "offset", MAX(value) AS value FROM stream_record GROUP BY ALL)
-      SELECT w.topic, w."partition", w."offset", w.watermark_ms, string_split(decode(pay.value), ';')[2] AS name FROM w JOIN pay ON pay.topic = w.topic AND pay."partition" = w."partition" AND pay."offset" = w."offset" WHERE pay.value IS NOT NULL""",
 }

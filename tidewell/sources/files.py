@@ -130,11 +130,11 @@ def compressor(compression: Compression) -> Callable[[bytes], bytes]:
         return lambda b: gzip.compress(b, mtime=0)
     if compression is Compression.BZIP:
         return bz2.compress
-    raise ValueError(f"{compression.value[0]} is written by Spark's own writers only")
+    return _frame(compression.value[0])
 
 
-def file_contents(rows: DataFrame, by: Sequence[str], column: str, order: Sequence[str], header: bytes = b"", compression: Compression = Compression.NONE) -> DataFrame:
-    """(by…, content, size, records): encoded rows of each file in order, with header.
+def file_contents(rows: DataFrame, by: Sequence[str], column: str, order: Sequence[str], header: bytes = b"", compression: Compression = Compression.NONE, footer: bytes = b"") -> DataFrame:
+    """(by…, content, size, records): encoded rows of each file in order, between header and footer; size is that after compression.
 
     Files are cut before by a commit strategy, so each is bounded."""
     packed = rows.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*order, F.col(column).alias("__row")))).alias("p"))
@@ -144,7 +144,7 @@ def file_contents(rows: DataFrame, by: Sequence[str], column: str, order: Sequen
         squeeze = compressor(compression)
         for b in batches:
             parts = b.column(len(by)).to_pylist()
-            content = [squeeze(header + b"".join(p)) for p in parts]
+            content = [squeeze(header + b"".join(p) + footer) for p in parts]
             yield pa.RecordBatch.from_arrays(
                 [*b.columns[: len(by)], pa.array(content, pa.binary()), pa.array([len(c) for c in content], pa.int64()), pa.array([len(p) for p in parts], pa.int64())],
                 [*by, "content", "size", "records"],
@@ -154,6 +154,39 @@ def file_contents(rows: DataFrame, by: Sequence[str], column: str, order: Sequen
     return packed.mapInArrow(run, schema)
 
 
+def decompressed(rows: DataFrame, compression: Compression) -> DataFrame:
+    """(path, content) with the contents as they were before compression."""
+    if compression is Compression.NONE:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        expand = {Compression.ZSTD: lambda b: zstandard.ZstdDecompressor().stream_reader(b, read_across_frames=True).read(), Compression.GZIP: gzip.decompress, Compression.BZIP: bz2.decompress, Compression.SNAPPY: _unframe("snappy"), Compression.LZ4: _unframe("lz4")}[compression]
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([expand(x) for x in b.column(1).to_pylist()], pa.binary())], ["path", "content"])
+
+    return rows.select("path", "content").mapInArrow(run, "path string, content binary")
+
+
+def _unframe(codec: str) -> Callable[[bytes], bytes]:
+    """A stream of that codec as pyarrow reads it; snappy: its length, then one block."""
+    if codec == "snappy":
+        return lambda b: pa.decompress(b[8:], int.from_bytes(b[:8], "big"), codec="snappy", asbytes=True)
+    return lambda b: pa.CompressedInputStream(pa.BufferReader(b), codec).read()
+
+
+def _frame(codec: str) -> Callable[[bytes], bytes]:
+    if codec == "snappy":
+        return lambda b: len(b).to_bytes(8, "big") + pa.compress(b, codec="snappy", asbytes=True)
+
+    def lz4(b: bytes) -> bytes:
+        sink = pa.BufferOutputStream()
+        with pa.CompressedOutputStream(sink, codec) as out:
+            out.write(b)
+        return sink.getvalue().to_pybytes()
+
+    return lz4
+
+
 def read_parquet(spark: SparkSession, base: str) -> DataFrame:
     return spark.read.option("recursiveFileLookup", "true").parquet(base)
 
