@@ -44,19 +44,17 @@ def le_floats(x: Column, double: bool, nullable: bool) -> Column:
     kind, size = ("<f8", 8) if double else ("<f4", 4)
 
     @pandas_udf(BinaryType())
-    def run(arrays: pd.Series) -> pd.Series:
+    def run(arrays: pd.Series, nulls: pd.Series) -> pd.Series:
         out = []
-        for a in arrays:
+        for a, missing in zip(arrays, nulls):  # nulls come as NaN, so they are told apart by a second array
             if a is None:
                 out.append(None)
-            elif not nullable:
-                out.append(np.asarray(a, kind).tobytes())
-            else:
-                raw = np.asarray([0 if e is None else e for e in a], kind).tobytes()
-                out.append(b"".join(b"\1" if e is None else b"\0" + raw[i * size : i * size + size] for i, e in enumerate(a)))
+                continue
+            raw = np.asarray(a, kind).tobytes()
+            out.append(b"".join(b"\1" if m else b"\0" + raw[i * size : i * size + size] for i, m in enumerate(missing)) if nullable else raw)
         return pd.Series(out)
 
-    return run(x)
+    return run(x, F.transform(x, lambda e: e.isNull()))
 
 
 def scaled_int(d: Column, scale: int) -> Column:
@@ -66,7 +64,7 @@ def scaled_int(d: Column, scale: int) -> Column:
 
 
 def decimal(d: Column, precision: int, scale: int) -> Column:
-    """8 bytes up to 18 digits, then 16; high group first, each little endian."""
+    """8 bytes up to 18 digits, then 16, with 38 digits 24; high group first, each little endian."""
     if not 0 <= scale <= precision <= 38:
         raise ValueError("decimals have a scale of at most their precision, and a precision of at most 38")
     if precision < 19:
@@ -79,7 +77,8 @@ def decimal(d: Column, precision: int, scale: int) -> Column:
     high = ((unscaled - rest) / two64).cast("decimal(38,0)").cast("bigint")
     # a rest of 2**63 or more is a negative long
     low = F.when(rest >= F.lit("9223372036854775808").cast("decimal(20,0)"), rest - two64).otherwise(rest).cast("bigint")
-    return F.when(d.isNotNull(), F.concat(le_int(high, 8), le_int(low, 8)))
+    top = [le_int(F.when(high < 0, -1).otherwise(0), 8)] if precision == 38 else []  # a third group, which is the sign
+    return F.when(d.isNotNull(), F.concat(*top, le_int(high, 8), le_int(low, 8)))
 
 
 def _digits(d: Column, scale: int) -> Column:

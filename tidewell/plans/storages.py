@@ -22,21 +22,20 @@ from tidewell.sources import log as logs
 from tidewell.sources.files import Compression
 from tidewell.streaming.engine import Ingest
 
-#: Offsets of the log per start of the stream; each start polls the end of the one before again.
-STARTS = 3
+#: Starts of the stream in which the log is read by offset; each polls the end of the one before again.
+STARTS = 2
 
 
-def _replayed(spark: SparkSession, d: str, path: str, run: Callable[[DataFrame], None]) -> None:
-    """The log in STARTS starts of a stream, by offset, each polling the end of the one before again."""
+def _replayed(spark: SparkSession, d: str, path: str, run: Callable[[DataFrame], None], starts: int) -> None:
     rec = load(spark, d, "stream_record")
-    width = (rec.agg(F.max("offset")).first()[0] or 0) // STARTS + 1
-    for i in range(STARTS):
+    width = (rec.agg(F.max("offset")).first()[0] or 0) // starts + 1
+    for i in range(starts):
         low = max(0, i * width - width // 4)
         rec.filter((F.col("offset") >= low) & (F.col("offset") < (i + 1) * width)).write.mode("append").parquet(f"{path}/in")
         run(spark.readStream.schema(RECORD).parquet(f"{path}/in"))
 
 
-def _ingested(spark: SparkSession, d: str, make: Callable[[str], protocols.Storage], formatter: formatting.Formatter, result: Callable[[protocols.Storage], DataFrame], **settings) -> DataFrame:
+def _ingested(spark: SparkSession, d: str, make: Callable[[str], protocols.Storage], formatter: formatting.Formatter, result: Callable[[protocols.Storage], DataFrame], starts: int = STARTS, **settings) -> DataFrame:
     with scratch(spark, "ingest") as path:
         last = []
 
@@ -44,7 +43,7 @@ def _ingested(spark: SparkSession, d: str, make: Callable[[str], protocols.Stora
             last[:] = [make(path)]  # a new process knows what is on disk only
             Ingest(storage=last[0], formatter=formatter, now=lambda: NOW_MS, **settings).start(stream, f"{path}/checkpoint").awaitTermination()
 
-        _replayed(spark, d, path, run)
+        _replayed(spark, d, path, run, starts)
         return staged(result(last[0]), "ingested")
 
 
@@ -59,7 +58,7 @@ def _columns(rows: DataFrame) -> DataFrame:
 
 def streaming_ingest(spark: SparkSession, d: str) -> DataFrame:
     """The log through the streaming engine, cut at the default number of records, into a table with its offsets; read back."""
-    return _ingested(spark, d, lambda p: protocols.TableStorage(spark, f"{p}/table", GROUP), _named, lambda s: _columns(s.read()))
+    return _ingested(spark, d, lambda p: protocols.TableStorage(spark, f"{p}/table", GROUP), _named, lambda s: _columns(s.read()), starts=3)
 
 
 def ingest_two_phase(spark: SparkSession, d: str) -> DataFrame:
@@ -279,34 +278,36 @@ PROTO: protobuf.Message = [(1, "name", "string"), (2, "n", "int64"), (3, "text",
 
 
 def _zigzag(n: Column) -> Column:
-    return binary.leb128(F.when(n >= 0, n * 2).otherwise(-n * 2 - 1))
+    return F.when(n >= 0, n * 2).otherwise(-n * 2 - 1)
 
 
-def _sized(text: Column) -> Column:
-    return F.concat(binary.leb128(F.octet_length(text) * 2), F.encode(text, "utf-8"))
+def _payload_parts(spark: SparkSession, d: str, n: Column) -> DataFrame:
+    """Numbers of a payload, folded so that they are not negative, before they are written."""
+    ids = F.transform(F.filter("child_ids", lambda x: x.isNotNull()), lambda x: _zigzag(x.cast("bigint")))
+    t = load(spark, d, "test_table").select("_file_id", "id", F.coalesce("name", F.lit("")).alias("name"), F.col("parent_id").cast("string").alias("text"), n.alias("n"), ids.alias("ids"))
+    return t.withColumn("parts", F.aggregate("ids", F.lit(b""), lambda a, x: F.concat(a, binary.leb128(x))))
 
 
-def _rows_with_payload(spark: SparkSession, d: str, payload: Column) -> DataFrame:
-    return load(spark, d, "test_table").select("_file_id", "id", payload.alias("value"))
+def _sized(text: Column) -> Column:
+    return F.concat(binary.leb128(F.octet_length(text) * 2), F.encode(text, "utf-8"))
 
 
 def avro_payload(spark: SparkSession, d: str) -> DataFrame:
     """Rows of the table as Avro, written by expressions, and read by the reader of payloads."""
-    ids = F.filter("child_ids", lambda x: x.isNotNull())
-    parts = F.when(F.size(ids) > 0, F.concat(_zigzag(F.size(ids)), F.aggregate(ids, F.lit(b""), lambda a, x: F.concat(a, _zigzag(x.cast("bigint")))))).otherwise(F.lit(b""))
-    text = F.when(F.col("parent_id").isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\x02"), _sized(F.col("parent_id").cast("string"))))
-    value = F.concat(_sized(F.coalesce("name", F.lit(""))), _zigzag(F.coalesce("parent_id", F.lit(-5))), text, parts, F.lit(b"\0"))
-    return avro.payload(AVRO, strict=True)(_rows_with_payload(spark, d, value)).withColumn("parts", F.array_join("parts", ";"))
+    t = _payload_parts(spark, d, _zigzag(F.coalesce("parent_id", F.lit(-5))))
+    parts = F.when(F.size("ids") > 0, F.concat(binary.leb128(F.size("ids") * 2), F.col("parts"))).otherwise(F.lit(b""))
+    text = F.when(F.col("text").isNull(), F.lit(b"\0")).otherwise(F.concat(F.lit(b"\x02"), _sized(F.col("text"))))
+    value = F.concat(_sized(F.col("name")), binary.leb128(F.col("n")), text, parts, F.lit(b"\0"))
+    return avro.payload(AVRO, strict=True)(t.select("_file_id", "id", value.alias("value"))).withColumn("parts", F.array_join("parts", ";"))
 
 
 def protobuf_payload(spark: SparkSession, d: str) -> DataFrame:
     """The same as Protocol buffers, with repeated numbers packed."""
-    ids = F.filter("child_ids", lambda x: x.isNotNull())
-    packed = F.aggregate(ids, F.lit(b""), lambda a, x: F.concat(a, _zigzag(x.cast("bigint"))))
+    t = _payload_parts(spark, d, F.coalesce(F.abs("parent_id"), F.lit(5)))
     string = lambda tag, s: F.concat(F.lit(bytes([tag])), binary.leb128(F.octet_length(s)), F.encode(s, "utf-8"))
-    text = F.when(F.col("parent_id").isNull(), F.lit(b"")).otherwise(string(0x1A, F.col("parent_id").cast("string")))
-    value = F.concat(string(0x0A, F.coalesce("name", F.lit(""))), F.lit(b"\x10"), binary.leb128(F.coalesce(F.abs("parent_id"), F.lit(5))), text, F.lit(b"\x22"), binary.leb128(F.octet_length(packed)), packed)
-    return protobuf.payload(PROTO, strict=True)(_rows_with_payload(spark, d, value)).withColumn("parts", F.array_join("parts", ";"))
+    text = F.when(F.col("text").isNull(), F.lit(b"")).otherwise(string(0x1A, F.col("text")))
+    value = F.concat(string(0x0A, F.col("name")), F.lit(b"\x10"), binary.leb128(F.col("n")), text, F.lit(b"\x22"), binary.leb128(F.octet_length("parts")), F.col("parts"))
+    return protobuf.payload(PROTO, strict=True)(t.select("_file_id", "id", value.alias("value"))).withColumn("parts", F.array_join("parts", ";"))
 
 
 def avro_files(spark: SparkSession, d: str) -> DataFrame:
