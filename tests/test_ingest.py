@@ -129,8 +129,9 @@ def test_count_cuts_and_prefilter_ranges(spark):
 
 
 def test_metadata_json_and_fallbacks():
-    m = metadata.CommitMetadata(1570097839000, metadata.Staged("test", Position(123, 1570097639000), Position(256, 1570097839000)))
-    assert m.to_json() == '{"watermark":1570097839000,"staged":{"staging":"test","start_offset":123,"start_watermark":1570097639000,"end_offset":256,"end_watermark":1570097839000}}'
+    m = metadata.CommitMetadata(900, metadata.Staged("s", Position(17, 300), Position(40, 900)))
+    # names and their order are fixed values of the format
+    assert m.to_json() == '{"watermark":900,"staged":{"staging":"s","start_offset":17,"start_watermark":300,"end_offset":40,"end_watermark":900}}'
     assert metadata.CommitMetadata(5).to_json() == '{"watermark":5}'
     assert metadata.CommitMetadata.deserialize(m.serialize()) == m == metadata.CommitMetadata.deserialize(m.to_json())
     for bad in ("", "{}", "bm9wZQ==", '{"watermark":"x"}', '{"watermark":1,"staged":{}}1'):
@@ -165,8 +166,8 @@ def test_parquet_options_and_file_contents(spark, tmp_path):
     assert rows(files.read_lines(spark, str(tmp_path / "l"))) == [("t", 0, 5, 100, "a;b")]
 
 
-B1 = [Range("t", 0, Position(0, 1570109555000), Position(100, 1570109655000)), Range("t", 1, Position(50, 1570109565000), Position(150, 1570109685000))]
-B2 = [Range("t", 0, Position(101, 1570109655001), Position(200, 1570109655100)), Range("t", 1, Position(51, 1570109685001), Position(300, 1570109686000))]
+B1 = [Range("t", 0, Position(0, 10), Position(7, 70)), Range("t", 1, Position(3, 30), Position(9, 90))]
+B2 = [Range("t", 0, Position(8, 80), Position(12, 120)), Range("t", 1, Position(10, 100), Position(31, 310))]
 KEYS = {("t", 0), ("t", 1)}
 
 
@@ -264,6 +265,7 @@ def test_own_source_reads_in_steps(spark, tmp_path):
     file = next((tmp_path / "in").glob("part-*.parquet"))
     spark.dataSource.register(logs.LogDataSource)
     assert spark.read.format("tidewell_log").option("path", str(file)).load().count() == 20
+    assert spark.read.format("tidewell_log").option("path", f"file://{tmp_path}/in").load().count() == 20
     sizes = []
     q = stream_log(spark, str(file), step=8).writeStream.foreachBatch(lambda d, i: sizes.append(d.count())).option("checkpointLocation", str(tmp_path / "c")).start()
     q.processAllAvailable()
@@ -425,3 +427,32 @@ def test_a_wrapper_forwards(spark, tmp_path):
     outer.process(_batch(spark, range(3)), 4)
     outer.heartbeat()
     assert calls == [4, 4] and storage.read().count() == 6 and inner.metrics.heartbeats == 1
+
+
+def test_built_files_appear_in_two_phases(spark, tmp_path):
+    from tidewell.commit import formats
+    from tidewell.encode.csv import CsvFormat
+
+    ledger = Ledger(spark, str(tmp_path / "ledger"), "g")
+    schema = spark.createDataFrame([], "n int, s string").schema
+    builder = formats.csv_files(schema, CsvFormat(separator=",", header=True), files.Compression.GZIP)
+    make = lambda: formats.FormatStorage(spark, f"file://{tmp_path}/out", ledger, builder, lambda: F.col("s"))
+    df = lambda n: spark.createDataFrame([(n, "a", 0), (n + 1, "b", 0), (n + 2, "a", 1)], f"n int, s string, {protocols.BATCH} bigint")
+    storage = make()
+    assert storage.commit_batch(df(1), B1) == 3
+    storage.fail_at = "store"
+    with pytest.raises(OSError):
+        storage.commit_batch(df(10), B2)
+    assert make().read().count() == 3
+    storage = make()
+    storage.recover(KEYS)
+    assert rows(storage.read_lines().select("line").filter("line != 'n,s'")) == [("1,a",), ("10,a",), ("11,b",), ("12,a",), ("2,b",), ("3,a",)]
+    assert {r["path"].split("/")[0] for r in storage.read().collect()} == {"a", "b"} and storage.read().count() == 6
+    assert storage.committed_positions(KEYS) == {("t", r.partition): Position(r.end.offset + 1, r.end.watermark_ms) for r in B2}
+    again = make()
+    again.commit_batch(df(10), B2)
+    assert again.read().count() == 6
+    empty = formats.FormatStorage(spark, f"file://{tmp_path}/none", ledger, builder)
+    assert empty.commit_batch(df(1).limit(0), B1) == 0
+    framed = formats.FileBuilder(lambda: F.lit(b"x"), b"<", b">").build(df(1), ("s",))
+    assert sorted((r["s"], bytes(r["content"]), r["size"], r["records"]) for r in framed.collect()) == [("a", b"<xx>", 4, 2), ("b", b"<x>", 3, 1)]

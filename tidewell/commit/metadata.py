@@ -94,4 +94,5 @@ def property_position(text: Column) -> Column:
 
 
 def property_key(group: str, topic: str, partition: int) -> str:
+    """The name is a fixed value of the format."""
     return f"__consumer_offset:{group}:{topic}:{partition}"

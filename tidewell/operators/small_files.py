@@ -195,7 +195,7 @@ def join_bytes(parts: list[bytes], kind: str, plain: list[tuple[int, int]] | Non
     return bytes(out)
 
 
-def _at(base: str):
+def located(base: str):
     """File system and path of a URI or local path, in any process."""
     from pyarrow import fs
 
@@ -205,7 +205,7 @@ def _at(base: str):
 def write_once(base: str, name: str, content: bytes) -> str:
     """Writes base/name under a temporary name, reads it back, compares, and renames;
     a retried or concurrent task replaces the same content."""
-    files, root = _at(base)
+    files, root = located(base)
     final = f"{root.rstrip('/')}/{name}"
     files.create_dir(os.path.dirname(final), recursive=True)
     temporary = f"{os.path.dirname(final)}/.{os.path.basename(final)}.{uuid.uuid4().hex}.tmp"
@@ -243,7 +243,7 @@ def concat_files(moves: DataFrame, source: str, destination: str, kind: str, hea
     grouped = parts.groupBy("directory", "target").agg(F.sort_array(F.collect_list(F.struct("place", "path", "bytes", "crc"))).alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        files, root = _at(source)
+        files, root = located(source)
         for b in batches:
             rows = []
             for directory, target, parts in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
@@ -270,7 +270,7 @@ def contents(joined: DataFrame) -> DataFrame:
         for b in batches:
             lines, digests = [], []
             for path in b.column(2).to_pylist():
-                files, at = _at(path)
+                files, at = located(path)
                 with files.open_input_stream(at, compression=None) as f:
                     plain = zstandard.ZstdDecompressor().stream_reader(io.BytesIO(f.read()), read_across_frames=True).read()
                 lines.append(plain.count(b"\n"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 from tidewell.model import KEYS, RECORD
+from tidewell.operators import small_files
 from tidewell.session import lookup
 
 
@@ -51,9 +52,9 @@ def from_positions(log: DataFrame, positions: DataFrame) -> DataFrame:
     return log.join(seeds, KEYS, "left").filter("__from is null or offset >= __from").drop("__from")
 
 
-class _Files(InputPartition):
-    def __init__(self, path: str, group: int):
-        self.path, self.group = path, group
+class _Group(InputPartition):
+    def __init__(self, file: str, group: int):
+        self.file, self.group = file, group
 
 
 class _Slice(InputPartition):
@@ -62,7 +63,8 @@ class _Slice(InputPartition):
 
 
 class LogDataSource(DataSource):
-    """A Parquet log file as a source, by row groups; as a stream, by row number.
+    """A Parquet log, a file or a folder of files in order of their names, on any file
+    system that pyarrow knows, as a source, by row groups; as a stream, by row number.
 
     Options: path; step (rows a trigger may take, none: all there are).  With
     step, an offset is the greatest row taken so far; after a restart the reader
@@ -88,15 +90,31 @@ def _typed(table: pa.Table) -> Iterator[pa.RecordBatch]:
     yield from table.select(columns).to_batches()
 
 
+def _names(path: str) -> list[str]:
+    """The Parquet files of a log, by name."""
+    from pyarrow import fs
+
+    files, at = small_files.located(path)
+    if files.get_file_info(at).type != fs.FileType.Directory:
+        return [path]
+    prefix = path.rstrip("/")
+    return sorted(f"{prefix}/{i.base_name}" for i in files.get_file_info(fs.FileSelector(at)) if i.base_name.endswith(".parquet"))
+
+
+def _open(path: str) -> pq.ParquetFile:
+    files, at = small_files.located(path)
+    return pq.ParquetFile(files.open_input_file(at))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, path: str):
         self.path = path
 
     def partitions(self) -> list[InputPartition]:
-        return [_Files(self.path, g) for g in range(pq.ParquetFile(self.path).num_row_groups)]
+        return [_Group(f, g) for f in _names(self.path) for g in range(_open(f).num_row_groups)]
 
-    def read(self, partition: _Files) -> Iterator[pa.RecordBatch]:
-        yield from _typed(pa.Table.from_batches([*pq.ParquetFile(partition.path).iter_batches(row_groups=[partition.group])]))
+    def read(self, partition: _Group) -> Iterator[pa.RecordBatch]:
+        yield from _typed(_open(partition.file).read_row_group(partition.group))
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -107,7 +125,7 @@ class _StreamReader(DataSourceStreamReader):
         return {"row": 0}
 
     def latestOffset(self) -> dict:
-        rows = pq.ParquetFile(self.path).metadata.num_rows
+        rows = sum(_open(f).metadata.num_rows for f in _names(self.path))
         if not self.step:
             return {"row": rows}
         self.seen = min(rows, self.seen + self.step)
@@ -120,13 +138,14 @@ class _StreamReader(DataSourceStreamReader):
 
     def read(self, partition: _Slice) -> Iterator[pa.RecordBatch]:
         at = 0
-        file = pq.ParquetFile(self.path)
-        for g in range(file.num_row_groups):
-            n = file.metadata.row_group(g).num_rows
-            lo, hi = max(partition.start - at, 0), min(partition.end - at, n)
-            if lo < hi:
-                yield from _typed(file.read_row_group(g).slice(lo, hi - lo))
-            at += n
+        for name in _names(self.path):
+            file = _open(name)
+            for g in range(file.num_row_groups):
+                n = file.metadata.row_group(g).num_rows
+                lo, hi = max(partition.start - at, 0), min(partition.end - at, n)
+                if lo < hi:
+                    yield from _typed(file.read_row_group(g).slice(lo, hi - lo))
+                at += n
 
     def commit(self, end: dict) -> None:
         pass

@@ -110,7 +110,7 @@ class Ingest:
             raise ValueError("a batch holds at least one record")
 
     def with_(self, **changes) -> Ingest:
-        return replace(self, **changes)
+        return replace(self, **({"known": {}, "starts": {}} | changes))
 
     def build(self) -> Ingest:
         if self.storage is None:
