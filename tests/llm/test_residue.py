@@ -26,7 +26,7 @@ PROSE = "We keep the tariff, merge the margin, and drop everything after row 235
 
 CASES = {
     "# {{ title }}": True, "Author: ${author_name}": True, "As before. #{any_name} Next we go on.": True, "<%= goal %>": True, "%%PROJECT_NAME%%": True, "@@DATE@@": True, "__COURSE__": True,
-    "[[summary]]": True, "[Insert date here]": True, "[Titel hier einfügen]": True, "[AUTHOR NAME]": True, "<DATASET NAME>": True, "Date: {title}": True, "{resumen}": True,
+    "[[summary]]": True, "[Insert date here]": True, "[Titel hier einfügen]": True, "[AUTHOR NAME]": True, "Nada más. [TÍTULO] Y sigue.": True, "Ferro vestum dictum vita porta nunca, pellis felis ornam eros calida.": True, "Votre texte ici.": True, "<DATASET NAME>": True, "Date: {title}": True, "{resumen}": True,
     "Lorem ipsum dolor sit amet, vestum tempus lorem mollis dictum.": True, "foo bar foo bar foo bar foo bar": True, "blurb blurb blurb blurb blurb": True, "Paragraph 1. Filler filler filler.": True,
     "*Type your answer here, replacing this line.*": True, "Version: 1\n\nHeading goes here": True, "Hier steht Ihr Text.": True,
     "Home  Browse  Sign in\n\n502 Bad gateway. The renderer did not answer in time.\n\nHelp · Terms · Status": True,

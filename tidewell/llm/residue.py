@@ -51,7 +51,7 @@ LINE_SHARE = {"message": 0.6, "prompt": 0.8, "filler": 0.75}
 FILLER_WORDS = 4
 FILLER_TERMS = 3
 #: The same for a paragraph without function words.
-FILLER_BARE = 0.3
+FILLER_BARE = 0.25
 
 #: Terms of messages and the words that mean them, "|" before forms of several words.
 THESAURUS = """
@@ -261,7 +261,9 @@ type your answer here
 type here
 enter here
 your answer here
-your text comes here
+your text here
+your heading here
+your description here
 your code here
 your name here
 write your description here
@@ -442,10 +444,10 @@ def placeholder(text: str) -> bool:
     if not _any_shape.search(text):
         return False
     bare = _quoted.sub(" ", text)
+    bare = bare if bare.isascii() else bare.translate(_fold)
     if any(p.search(bare) for p in CAPITALS.values()):
         return True
     low = bare.lower()
-    low = low if low.isascii() else low.translate(_fold)
     return any(p.search(low) for p in PLACEHOLDERS.values())
 
 
@@ -567,7 +569,6 @@ _paragraph = re.compile(r"\n\s*\n")
 def _is_filler(text: str, exemplars: Exemplars, idf: dict[str, float], default: float) -> bool:
     """A paragraph, or line of one, that lies within a filler's vocabulary."""
     plain = _quoted.sub(" ", _tag.sub(" ", _block_tag.sub("\n", _head.sub(" ", text))))
-    weight = lambda t: idf.get(t, default)
     for paragraph in _paragraph.split(plain):
         if not paragraph.lstrip().startswith("#") and tuple(terms_of(paragraph)) in exemplars.short:
             return True
@@ -576,10 +577,14 @@ def _is_filler(text: str, exemplars: Exemplars, idf: dict[str, float], default:
             if len(own) < FILLER_WORDS:
                 continue
             least = CONTAINED if exemplars.natural.intersection(own) else FILLER_BARE
-            mass = sum(map(weight, own))
             for filler in exemplars.fillers:
-                inside = [t for t in own if t in filler]
-                if len(set(inside)) >= min(FILLER_TERMS, len(filler)) and sum(map(weight, inside)) >= least * mass:
+                weights = [idf.get(t, default) for t in own if t in filler]
+                if len({t for t in own if t in filler}) < min(FILLER_TERMS, len(filler)):
+                    continue
+                # how common other words are isn't known unless they are terms; they weigh as the filler's do on average
+                mean = sum(weights) / len(weights)
+                others = sum(idf.get(t, mean) for t in own if t not in filler)
+                if sum(weights) >= least * (sum(weights) + others):
                     return True
     return False
 
