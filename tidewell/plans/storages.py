@@ -310,12 +310,18 @@ def protobuf_payload(spark: SparkSession, d: str) -> DataFrame:
     return protobuf.payload(PROTO, strict=True)(t.select("_file_id", "id", value.alias("value"))).withColumn("parts", F.array_join("parts", ";"))
 
 
+def _totals(rows: DataFrame, no_text: Column, label: str) -> DataFrame:
+    """Records and the exact sum of n: a bigint, as in the SQL, unless a sum has no room there (the SQL has no result then), else a decimal."""
+    out = staged(rows.groupBy(no_text.alias("no_text")).agg(F.count(F.lit(1)).alias("records"), F.sum(F.col("n").cast("decimal(38,0)")).alias("n")), label)
+    wide = out.filter(F.col("n").isNotNull() & F.col("n").try_cast("bigint").isNull())
+    return out if wide.head(1) else out.withColumn("n", F.col("n").cast("bigint"))
+
+
 def avro_files(spark: SparkSession, d: str) -> DataFrame:
     """Parquet files with the columns of an Avro schema."""
     with scratch(spark, "avro") as path:
         avro_payload(spark, d).select(*[f.name for f in avro.struct_of(AVRO).fields]).write.options(**files.ParquetConfig().options()).parquet(path)
-        back = spark.read.parquet(path)
-        return staged(back.groupBy(F.col("text").isNull().alias("no_text")).agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("n")), "avro")
+        return _totals(spark.read.parquet(path), F.col("text").isNull(), "avro")
 
 
 def protobuf_files(spark: SparkSession, d: str) -> DataFrame:
