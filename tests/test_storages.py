@@ -12,7 +12,7 @@ def tables(spark, path, data):
     return str(path)
 
 
-@pytest.mark.parametrize("query, rest", [("avro_files", -5)])
+@pytest.mark.parametrize("query, rest", [("avro_files", -5), ("protobuf_files", 5)])
 def test_sums_of_payload_files_beyond_64_bits(spark, tmp_path, query, rest):
     run = storages.QUERIES[query]
     d = tables(spark, tmp_path / "wide", [(1, i, "a", GREATEST, [1, -2, None]) for i in range(300)] + [(1, 4, None, None, None)])

@@ -328,8 +328,7 @@ def protobuf_files(spark: SparkSession, d: str) -> DataFrame:
     """Parquet files with the columns of a Protobuf message."""
     with scratch(spark, "protobuf") as path:
         protobuf_payload(spark, d).select(*protobuf.struct_of(PROTO).names).write.options(**files.ParquetConfig(Compression.SNAPPY).options()).parquet(path)
-        back = spark.read.parquet(path)
-        return staged(back.groupBy((F.col("text") == "").alias("no_text")).agg(F.count(F.lit(1)).alias("records"), F.sum("n").alias("n")), "protobuf")
+        return _totals(spark.read.parquet(path), F.col("text") == "", "protobuf")
 
 
 # settings and statements
