@@ -240,17 +240,38 @@ def codec_readback(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+#: Rows of a table that are written in other files and read back at a time, portions at most, and rows of a file.
+PORTION_ROWS, PORTIONS, FILE_ROWS = 50_000, 32, 25_000
+
+
+def _portions(table: DataFrame, path: str) -> list[list[str]]:
+    """The table's rows, each once, as lists of files below path of about as many rows each."""
+    rows = table.count()
+    most = max(1, min(PORTIONS, -(-rows // PORTION_ROWS)))
+    table.write.option("compression", "zstd").option("maxRecordsPerFile", max(1, rows // most // 8)).parquet(path)
+    names = sorted(table.sparkSession.read.schema(table.schema).parquet(path).inputFiles())
+    return [part for i in range(most) if (part := names[i::most])]
+
+
 def parquet_settings(spark: SparkSession, d: str) -> DataFrame:
-    """Parquet files by each codec, without a dictionary and with small pages; read back."""
-    out = None
+    """Parquet files by each codec, without a dictionary and with small pages; read back.
+
+    A bloom filter takes 1 MB per column in each row group of 1 MB, so the files
+    are some twenty times the table: they are written by portions, each read back
+    and deleted before the next, and a file's filters are held until it is closed."""
+    table = load(spark, d, "test_table")
     with scratch(spark, "parquet") as path:
+        portions = _portions(table, f"{path}/table")
         for c in (Compression.NONE, Compression.ZSTD, Compression.GZIP, Compression.SNAPPY, Compression.LZ4):
             config = files.ParquetConfig(c, block_size=1 << 20, page_size=1 << 14, dictionary=False, bloom_filter=True)
-            load(spark, d, "test_table").write.options(**config.options()).parquet(f"{path}/{c.value[0]}")
-            back = files.read_parquet(spark, f"{path}/{c.value[0]}").groupBy("_topic").agg(F.count(F.lit(1)).alias("records"), F.sum("money_spent").cast("decimal(38,6)").alias("money_spent"))
-            one = staged(back.withColumn("codec", F.lit(c.value[0])), "parquet")
-            out = one if out is None else out.unionByName(one)
-        return out
+            for part in portions:
+                with scratch(spark, "portion") as at:
+                    spark.read.schema(table.schema).parquet(*part).write.options(**config.options()).option("maxRecordsPerFile", FILE_ROWS).parquet(at)
+                    back = files.read_parquet(spark, at).groupBy("_topic").agg(F.count(F.lit(1)).alias("records"), F.sum("money_spent").alias("money_spent"))
+                    back.withColumn("codec", F.lit(c.value[0])).write.mode("append").parquet(f"{path}/totals")
+        totals = spark.read.parquet(f"{path}/totals").groupBy("_topic", "codec")
+        whole = totals.agg(F.sum("records").alias("records"), F.sum("money_spent").cast("decimal(38,6)").alias("money_spent"))
+        return staged(whole.select("_topic", "records", "money_spent", "codec"), "parquet")
 
 
 # values
